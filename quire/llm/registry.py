@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, simhash
+from quire.llm import bpe, mtree, simhash, warc
 
-_MODULES = (bpe, simhash)
+_MODULES = (warc, mtree, bpe, simhash)
 
 
 def queries() -> dict:
