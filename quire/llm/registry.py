@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, mtree, simhash, warc
+from quire.llm import bpe, langid, mtree, quality, simhash, warc
 
-_MODULES = (warc, mtree, bpe, simhash)
+_MODULES = (warc, mtree, bpe, simhash, langid, quality)
 
 
 def queries() -> dict:
