@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, langid, mtree, quality, simhash, warc
+from quire.llm import bpe, langid, mtree, pii, quality, secrets, simhash, warc
 
-_MODULES = (warc, mtree, bpe, simhash, langid, quality)
+_MODULES = (warc, mtree, bpe, simhash, langid, quality, secrets, pii)
 
 
 def queries() -> dict:
