@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, decontaminate, langid, mtree, pii, quality, secrets, simhash, warc
+from quire.llm import bpe, decontaminate, langid, mtree, pii, quality, secrets, simhash, substrings, warc
 
-_MODULES = (warc, mtree, decontaminate, bpe, simhash, langid, quality, secrets, pii)
+_MODULES = (warc, mtree, substrings, decontaminate, bpe, simhash, langid, quality, secrets, pii)
 
 
 def queries() -> dict:
