@@ -14,6 +14,11 @@ spanning forest of their links and never all pairs, so large groups of near copi
 
 Fingerprints and not documents are joined: copies count once. A cell in memory takes 8 bytes a
 distinct fingerprint.
+
+Similar texts. Texts whose shingle sets overlap by 0.8 differ in about a seventh of their bits, ten of 64; no grid of segment
+counts tells such pairs from others. similar() finds them with fingerprints of WIDE words of 64 bits: texts that agree in one
+of BANDS short bands meet in a cell, and the distance over all bits estimates the angle, so the similarity. A band is
+longer where there are more fingerprints, so that cells stay small.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import common
+from quire.llm.words import mix
 
 SEED = 42
 #: Runs of more members are searched breadth first, so that linked members leave the search at once.
@@ -61,6 +67,82 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id"
     return common.arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id bigint, fp bigint")
 
 
+#: 64-bit words of a wide fingerprint; bits of a band and bands. At a similarity of 0.8 one pair in a hundred meets in no band.
+WIDE, BAND_BITS, BANDS = 6, 12, 32
+
+
+def wide_fingerprint(text: str | None, shingle_words: int = 5) -> np.ndarray:
+    """WIDE words over the set of shingles, so that the angle follows the sets' overlap; zeros for a text without words."""
+    words = (text or "").encode().lower().split()
+    n = len(words)
+    if not n:
+        return np.zeros(WIDE, np.uint64)
+    whole = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    last = min(n, shingle_words) - 1
+    starts = np.concatenate(([0], ends[: n - last - 1] + 1)).tolist()
+    one = xxhash.xxh64_intdigest
+    h = np.unique(np.array([one(whole[a:b], SEED) for a, b in zip(starts, ends[last:].tolist(), strict=True)], np.uint64))
+    out = np.empty(WIDE, np.uint64)
+    for k in range(WIDE):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), 1 << 16):
+            ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+        out[k] = np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
+        h = mix(h + np.uint64(0x9E3779B97F4A7C15))
+    return out
+
+
+def most_bits(similarity: float, sigmas: float = 1.25) -> int:
+    """Differing bits of a wide fingerprint up to which texts count as similar: those expected at this Jaccard similarity, and some standard deviations."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = 64 * WIDE
+    return int(n * p + sigmas * np.sqrt(n * p * (1 - p)))
+
+
+def similar(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows (doc_id, component_id) for every row of docs: components of the links between texts that are alike or whose shingles' estimated similarity is `similarity` or more.
+
+    A row with a null id links nothing and has a null component; texts without words are alike.
+    """
+    spark = common.ready(docs.sparkSession)
+    names = [f"f{k}" for k in range(WIDE)]
+
+    def prints(b: pa.RecordBatch) -> dict:
+        x = np.stack([wide_fingerprint(t, shingle_words) for t in b.column(1).to_pylist()]).view(np.int64)
+        return {"doc_id": b.column(0), **{n: x[:, k] for k, n in enumerate(names)}}
+
+    made = common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), prints, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
+    made = common.written(made, "wide")
+    distinct = common.written(made.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("rep")), "distinct")
+    bits = max(BAND_BITS, int(distinct.count()).bit_length() - 6)
+    most = most_bits(similarity)
+    bands = BANDS if bits == BAND_BITS else int(np.ceil(BANDS * 0.8485 ** (BAND_BITS - bits)))
+
+    def spread(b: pa.RecordBatch) -> dict:
+        x = np.stack([b.column(k).to_numpy() for k in range(WIDE)], axis=1)
+        bit = np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+        g = np.random.default_rng(17)
+        order = np.concatenate([g.permutation(64 * WIDE) for _ in range(-(-bands * bits // (64 * WIDE)))])[: bands * bits].reshape(bands, bits)
+        cell = np.concatenate([bit[:, o] @ (1 << np.arange(bits)) + (k << 40) for k, o in enumerate(order)])
+        rows = np.tile(np.arange(len(x)), bands)
+        return {"cell": cell, "rep": b.column(WIDE).to_numpy()[rows], **{n: x[rows, k] for k, n in enumerate(names)}}
+
+    put = common.arrow_map(distinct.select(*names, "rep"), spread, "cell bigint, rep bigint, " + ", ".join(f"{n} bigint" for n in names))
+    scan = _scan(lambda fp, a, b: _wide_near(fp, a, b, most), range(2, 2 + WIDE))
+    edges = put.repartition("cell").sortWithinPartitions("cell").mapInArrow(scan, "a bigint, b bigint")
+    joined = common.components(edges)
+    known = distinct.join(joined, distinct.rep == joined.node, "left").select(*names, F.coalesce("comp", "rep").alias("comp"))
+    return made.join(known, names, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("comp")).alias("component_id"))
+
+
+def _wide_near(fp: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    near = np.bitwise_count(fp[a, 0] ^ fp[b, 0]) <= min(64, most // WIDE + 14)
+    a, b = np.broadcast_arrays(a, b)
+    near[near] = np.bitwise_count(fp[a[near]] ^ fp[b[near]]).sum(1, dtype=np.int64) <= most
+    return near
+
+
 _PLACES = 3 ** np.arange(16, dtype=np.int64)
 
 
@@ -121,15 +203,15 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list, list]:
     return out
 
 
-def _dense(fp: np.ndarray, rep: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _dense(fp: np.ndarray, rep: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
     """Links of one large run that connect what its links connect: breadth first, members leave the search once reached."""
     a, b = [], []
-    left = np.arange(len(fp))
+    left = np.arange(len(rep))
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):
             at = front.pop()
-            hit = np.bitwise_count(fp[left] ^ fp[at]) <= most
+            hit = near(fp, np.array([at]), left)
             if hit.any():
                 a.append(np.full(hit.sum(), rep[at]))
                 b.append(rep[left[hit]])
@@ -138,26 +220,51 @@ def _dense(fp: np.ndarray, rep: np.ndarray, most: int) -> tuple[np.ndarray, np.n
     return (np.concatenate(a), np.concatenate(b)) if a else (rep[:0], rep[:0])
 
 
-def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, most: int) -> tuple[list, list]:
-    """Of whole sorted runs."""
+def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, near) -> tuple[list, list]:
+    """Of whole sorted runs. near(fp, a, b): which of the pairs of places are links."""
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
     a, b = [rep[:0]], [rep[:0]]
     for s, n in zip(start[size > DENSE], size[size > DENSE], strict=True):
-        x, y = _dense(fp[s : s + n], rep[s : s + n], most)
+        x, y = _dense(fp[s : s + n], rep[s : s + n], near)
         a.append(x)
         b.append(y)
     at = np.flatnonzero(np.repeat((size <= DENSE) & (size > 1), size))
     end = np.repeat(start + size, size)
     step = 1
     while len(at := at[at + step < end[at]]):
-        near = linked(fp[at], fp[at + step], most)
-        a.append(rep[at[near]])
-        b.append(rep[at[near] + step])
+        hit = near(fp, at, at + step)
+        a.append(rep[at[hit]])
+        b.append(rep[at[hit] + step])
         step += 1
     return _forest(np.concatenate(a), np.concatenate(b))
 
 
+def _scan(near, prints: range):
+    """Reads sorted rows (cell, rep, ..., fingerprint words ...); gives out the links' forest of each batch of whole cells."""
+
+    def edge(got: list[np.ndarray]):
+        fp = np.stack([got[k] for k in prints], axis=1).view(np.uint64)
+        a, b = _links(got[0], fp, got[1], near)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def scan(batches):
+        held: list = []
+        for b in batches:
+            held.append([c.to_numpy() for c in b.columns])
+            # joined only where a cell ends, so that a very large cell is copied once
+            if b.num_rows and held[-1][0][-1] != held[0][0][0]:
+                got = [np.concatenate(x) for x in zip(*held, strict=True)]
+                cut = int(np.searchsorted(got[0], got[0][-1]))
+                held = [[x[cut:] for x in got]]
+                yield from edge([x[:cut] for x in got])
+        if held and len(held[0][0]):
+            yield from edge([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    return scan
+
+
 def links(distinct: DataFrame, most: int = 4) -> DataFrame:
     """Edges (a, b) between the rows (fp, rep) of distinct fingerprints that connect the same ones as all pairs at Hamming distance `most` or less would.
 
@@ -171,28 +278,9 @@ def links(distinct: DataFrame, most: int = 4) -> DataFrame:
         key, i = cells(np.ascontiguousarray(fp).view(np.uint64))
         return {"cell": key, "fp": fp[i], "rep": rep[i]}
 
-    put = common.arrow_map(distinct.select("fp", "rep"), spread, "cell bigint, fp bigint, rep bigint")
+    put = common.arrow_map(distinct.select("fp", "rep"), spread, "cell bigint, rep bigint, fp bigint")
     put = put.repartition("cell").sortWithinPartitions("cell")
-
-    def scan(batches):
-        held = None
-        for b in batches:
-            got = [b.column(k).to_numpy() for k in range(3)]
-            if held is not None:
-                got = [np.concatenate(x) for x in zip(held, got, strict=True)]
-            cut = int(np.searchsorted(got[0], got[0][-1])) if len(got[0]) else 0
-            held = [x[cut:] for x in got]
-            if cut:
-                yield from edge([x[:cut] for x in got])
-        if held is not None and len(held[0]):
-            yield from edge(held)
-
-    def edge(got):
-        a, b = _links(got[0], np.ascontiguousarray(got[1]).view(np.uint64), got[2], most)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return put.mapInArrow(scan, "a bigint, b bigint")
+    return put.mapInArrow(_scan(lambda fp, a, b: linked(fp[a, 0], fp[b, 0], most), range(2, 3)), "a bigint, b bigint")
 
 
 def groups(prints: DataFrame, most: int = 4) -> DataFrame:
