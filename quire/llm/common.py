@@ -97,14 +97,19 @@ def components(edges: DataFrame) -> DataFrame:
     now, mark = written(e, "edges"), None
 
     def stars(e: DataFrame) -> DataFrame:
+        # the least neighbours are written, so that each join shuffles both its sides and a hot node's rows can be split
         both = e.unionByName(e.selectExpr("b a", "a b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) m")
-        large = both.join(least, "a").where("b > a").selectExpr("b a", "m b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        return large.join(least, "a").selectExpr("explode(array(struct(a, m b), struct(b a, m b))) x").select("x.*").where("a <> b").distinct()
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) m"), "least")
+        large = written(both.join(least, "a").where("b > a").selectExpr("b a", "m b").distinct(), "large")
+        drop_written(least)
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        out = written(large.join(least, "a").selectExpr("explode(array(struct(a, m b), struct(b a, m b))) x").select("x.*").where("a <> b").distinct(), "stars")
+        drop_written(large)
+        drop_written(least)
+        return out
 
     while True:
-        last, now = now, written(stars(now), "stars")
+        last, now = now, stars(now)
         at = now.selectExpr("count(1) n", "bit_xor(xxhash64(a, b)) x").first()
         drop_written(last)
         if at == mark or at["n"] == 0:

@@ -132,7 +132,7 @@ def similar(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) ->
     scan = _scan(lambda fp, a, b: _wide_near(fp, a, b, most), range(2, 2 + WIDE))
     edges = put.repartition("cell").sortWithinPartitions("cell").mapInArrow(scan, "a bigint, b bigint")
     joined = common.components(edges)
-    known = distinct.join(joined, distinct.rep == joined.node, "left").select(*names, F.coalesce("comp", "rep").alias("comp"))
+    known = common.written(distinct.join(joined, distinct.rep == joined.node, "left").select(*names, F.coalesce("comp", "rep").alias("comp")), "known")
     return made.join(known, names, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("comp")).alias("component_id"))
 
 
@@ -291,7 +291,7 @@ def groups(prints: DataFrame, most: int = 4) -> DataFrame:
     common.ready(prints.sparkSession)
     distinct = common.written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "prints")
     joined = common.components(links(distinct, most))
-    known = distinct.join(joined, distinct.rep == joined.node, "left").select("fp", F.coalesce("comp", "rep").alias("comp"))
+    known = common.written(distinct.join(joined, distinct.rep == joined.node, "left").select("fp", F.coalesce("comp", "rep").alias("comp")), "known")
     out = prints.join(known, "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("comp")).alias("component_id"))
 

@@ -113,6 +113,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     made = common.written(common.arrow_map(docs, scan, "doc_id bigint, th bigint, n_words bigint, kept_sha256 string, first array<int>, edges array<int>, anchor array<bigint>, whole array<bigint>"), "paths")
     every = made.where("doc_id is not null").select("doc_id", "th", F.explode(F.arrays_zip("anchor", "whole", "first", "edges")).alias("p")).select("doc_id", "th", "p.*")
     several = every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("whole").alias("x"), F.max("whole").alias("y")).where("a < b").select("anchor", F.expr("x <> y").alias("branches"))
+    several = common.written(several, "several")  # so the join shuffles both its sides, and a common anchor's rows can be split
     occurrences = common.written(every.join(several, "anchor"), "repeated")
 
     key = ["anchor", "whole", "edges"]
@@ -138,9 +139,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     known = common.written(known.dropDuplicates([*key, "source"]), "known")
 
     edge = known.where("each is not null").select(*key, "source", F.posexplode("each").alias("i", "edge"))
-    least = edge.groupBy("edge").agg(F.min("source").alias("least"), F.max("source").alias("most")).where("least < most").select("edge", "least")
+    least = common.written(edge.groupBy("edge").agg(F.min("source").alias("least"), F.max("source").alias("most")).where("least < most").select("edge", "least"), "edges")
     hits = edge.join(least, "edge").where("least < source").groupBy(*key).agg(F.collect_list("i").alias("hits"))
-    known = known.drop("each").join(hits, key, "left")
+    known = common.written(known.drop("each").join(hits, key, "left"), "answers")
     cut = occurrences.select("doc_id", "th", "first", *key).join(known, key).where("doc_id > source or hits is not null")
     cut = cut.select("doc_id", F.struct("th", "first", "edges", "digest", F.when(F.col("doc_id") == F.col("source"), F.col("hits")).alias("hits")).alias("c"))
     return made.select("doc_id", "th", "n_words", "kept_sha256"), common.written(cut.groupBy("doc_id").agg(F.collect_list("c").alias("cuts")), "cuts")
