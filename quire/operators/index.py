@@ -69,7 +69,7 @@ def table_rows(tables: DataFrame, index: DataFrame) -> DataFrame:
     t = t.select("table_id", "kind", "ref", *(f"_{k}" for k in COLUMNS), F.posexplode(F.slice("rows", 2, 1_000_000)).alias("row_no", "row"))
     cell = lambda k: F.coalesce(F.get("row", F.col(f"_{k}").cast("int") - 1), F.lit(""))
     t = t.withColumns({k: cell(k) for k in COLUMNS})
-    t = t.withColumns({"rights": C.cell_lines(F.col("right")), "opened": F.flatten(F.transform(C.cell_lines(F.col("command")), C.open_alternatives))})
+    t = t.withColumns({"rights": C.cell_lines(F.col("right")), "opened": F.flatten(F.transform(C.cell_lines(F.col("command")), lambda x: C.open_alternatives(x)))})
     t = t.select("*", F.posexplode("opened").alias("i", "one"))
     target = (
         F.when(F.col("kind") == "removed", T.trim(F.regexp_extract("right", C.UNIFIED, 1)))

@@ -15,7 +15,7 @@ class Relation:
         return spark.createDataFrame(self.rows, self.schema)
 
     def sql(self, name: str = "t") -> str:
-        names = ", ".join(c.split()[0] for c in self._columns())
+        names = ", ".join(f'"{c.split()[0]}"' for c in self._columns())
         kinds = [c.split(None, 1)[1] for c in self._columns()]
         rows = ", ".join("(" + ", ".join(_literal(v, k) for v, k in zip(r, kinds, strict=True)) + ")" for r in self.rows)
         return f"(values {rows}) {name}({names})"
