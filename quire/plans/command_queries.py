@@ -332,7 +332,7 @@ select family, count(*) n, arg_min(command, ord) example, arg_min(source, ord) s
     + f""", e as (select *, (row_number() over (partition by table_id, row_no order by place) - 1)::int i, string_split(r, chr(10)) rs from o where not regexp_matches(c, '{C.ALTERNATIVES}')),
 x as (select *, {_keywords('c')} k from e), h as (select *, {_keywords('command')} hk from {INDEX.sql('q')}),
 m as (select table_id, row_no, i, source, row_number() over (partition by table_id, row_no, i order by least(len(k), len(hk)) desc, ord) p from x, h where len(k) > 0 and len(hk) > 0 and list_slice(k, 1, least(len(k), len(hk))) = list_slice(hk, 1, least(len(k), len(hk))) and (len(k) = len(hk) or least(len(k), len(hk)) >= 2)),
-own as (select 1 part, x.kind, c as left_, case x.kind when 'removed' then trim(regexp_extract(r, '{C.UNIFIED}', 1)) when 'renamed' then coalesce(rs[i + 1], rs[-1], '') else c end right_, 'ch8' source, coalesce('crm:' || m.source, '') ref_left, case when ref <> '' then 'fd:' || ref else '' end ref_right,
+own as (select 1 part, x.kind, c as left_, case x.kind when 'removed' then trim(regexp_extract(r, '{C.UNIFIED}', 1)) when 'renamed' then coalesce(rs[x.i + 1], rs[-1], '') else c end right_, 'ch8' source, coalesce('crm:' || m.source, '') ref_left, case when ref <> '' then 'fd:' || ref else '' end ref_right,
  array_to_string(list_filter(case x.kind when 'removed' then [function, 'IX-R: ' || r] when 'renamed' then [function, note] else [function, 'モード: ' || l || ' → ' || r] end, lambda z: z <> ''), '。') note from x left join m on m.table_id = x.table_id and m.row_no = x.row_no and m.i = x.i and m.p = 1),
 der as (select 2 part, kind, "left" left_, "right" right_, source, ref_left, ref_right, note from {DERIVED.sql('dd')}),
 there as (select * from (values ('ip'), ('ip route'), ('restart')) v(family)), told as (select {_family('left_')} family from (select left_ from own union all select left_ from der)),
