@@ -43,7 +43,7 @@ def table_markdown(tables: DataFrame, key: str) -> DataFrame:
     """Rows (key, rows) to (key, markdown)."""
     from quire.operators.arrow import mapped
 
-    return mapped(tables.select(key, "rows"), lambda r: [{key: r[key], "markdown": render_table(r["rows"])}], f"{key} string, markdown string")
+    return mapped(tables.select(key, "rows"), lambda r: [{key: r[key], "markdown": render_table(r["rows"])}], f"{key} {tables.schema[key].dataType.simpleString()}, markdown string")
 
 
 def fenced(lines: list[str]) -> str:
