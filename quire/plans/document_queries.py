@@ -100,12 +100,12 @@ def book_guides(spark, sf):
 
 
 def _glyph_rows(page: int, y: float, text: str, x: float = 50.0, step: float = 10.0, size: float = 10.0, seq: int = 0) -> list[tuple]:
-    return [("d", page, seq + i, c, x + i * step, x + i * step + step * 0.9, float(y + size), float(y), float(size), False, 516.0, 728.0) for i, c in enumerate(text) if c != " "]
+    return [("d", page, seq + i, c, x + i * step, x + i * step + step * 0.9, float(y + size), float(y), float(size), text[i - 1 : i] == " ", 516.0, 728.0) for i, c in enumerate(text) if c != " "]
 
 
 GLYPHS = Relation(
     "doc string, page int, seq int, r string, left double, right double, top double, bottom double, size double, space_before boolean, width double, height double",
-    [*_glyph_rows(1, 600, "２．１ 概要", size=12), *_glyph_rows(1, 580, "本文の行である", seq=100), *_glyph_rows(1, 565, "続きの行", seq=200), *_glyph_rows(1, 700, "頭", seq=300), *_glyph_rows(2, 600, "abc", step=6, seq=0), *_glyph_rows(2, 600, "right", x=300, step=6, seq=50), *_glyph_rows(2, 585, "L2", step=6, seq=80)],
+    [*_glyph_rows(1, 600, "２．１ 概要", size=12), *_glyph_rows(1, 580, "本文の行である", seq=100), *_glyph_rows(1, 565, "続きの行", seq=200), *_glyph_rows(1, 700, "頭", seq=300), *_glyph_rows(2, 600, "abc", step=6.0, seq=0), *_glyph_rows(2, 600, "right", x=300.0, step=6.0, seq=50), *_glyph_rows(2, 585, "L2", step=6.0, seq=80)],
 )
 
 
