@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quire.llm import common
 
 #: A piece of this many bytes or more isn't remembered; two generations of so many pieces are.
-CACHE_BYTES, CACHE_PIECES = 64, 150_000
+CACHE_BYTES, CACHE_PIECES = 64, 500_000
 
 
 class Vocabulary:
@@ -31,6 +31,12 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
+        #: Lengths, largest first, of the tokens of two bytes or more that end in these two.
+        ends: dict[bytes, set[int]] = {}
+        for t in ranks:
+            if len(t) > 1:
+                ends.setdefault(t[-2:], set()).add(len(t))
+        self.ends = {k: sorted(x, reverse=True) for k, x in ends.items()}
         self._follows: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
 
@@ -74,26 +80,41 @@ class Prefixes:
         self.v, self.data, self.last = vocabulary, b"", []
         self.append(data)
 
-    def _entry(self, i: int) -> int:
+    def _entries(self, start: int, stop: int):
+        """The last tokens of the prefixes that end at these bytes; last must hold those before."""
         v, data, last = self.v, self.data, self.last
-        for n in range(min(v.longest, i + 1), 0, -1):
-            t = v.ranks.get(data[i + 1 - n : i + 1])
-            if t is not None and (v.follows(last[i - n], t) if n <= i else v.whole(t)):
-                return t
-        raise ValueError(f"the vocabulary lacks the byte {data[i]}")
+        ranks, ends, known, follows = v.ranks, v.ends, v._follows, v.follows
+        for i in range(start, stop):
+            end = i + 1
+            for n in ends.get(data[i - 1 : end], ()) if i else ():
+                if n <= i:
+                    if (t := ranks.get(data[end - n : end])) is not None:
+                        p = last[i - n]
+                        if (ok := known.get((p, t))) is None:
+                            ok = follows(p, t)
+                        if ok:
+                            break
+                elif n == end and (t := ranks.get(data[:end])) is not None and v.whole(t):
+                    break
+            else:
+                if (t := ranks.get(data[i:end])) is None:
+                    raise ValueError(f"the vocabulary lacks the byte {data[i]}")
+                if i and not follows(last[i - 1], t):
+                    raise ValueError("the ranks aren't those of byte pair merges")
+            yield t
 
     def append(self, more: bytes) -> None:
-        at, self.data = len(self.data), self.data + more
-        for i in range(at, len(self.data)):
-            self.last.append(self._entry(i))
+        at, self.data, put = len(self.data), self.data + more, self.last.append
+        for t in self._entries(at, len(self.data)):
+            put(t)
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replaces data[start:stop]. Returns the number of entries computed: it ends where a longest token's length of them is as before."""
         old, moved = self.last[stop:], start + len(new)
         self.data, self.last = self.data[:start] + new + self.data[stop:], self.last[:start]
         alike = 0
-        for i in range(start, len(self.data)):
-            self.last.append(self._entry(i))
+        for i, t in enumerate(self._entries(start, len(self.data)), start):
+            self.last.append(t)
             alike = alike + 1 if i >= moved and old[i - moved] == self.last[-1] else 0
             if alike >= self.v.longest:
                 self.last += old[i + 1 - moved :]
