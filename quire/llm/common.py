@@ -39,8 +39,31 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return posixpath.join(shared_dir(spark), f"quire-{spark.sparkContext.applicationId}")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return posixpath.join(shared_dir(spark), f"quire-{name}-{uuid.uuid4().hex}")
+    """A new path in this application's part of the shared folder; clean() removes that part."""
+    return posixpath.join(_own_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that the operators have written to the shared folder in this application. Results that aren't yet written elsewhere are lost."""
+    _delete(spark, _own_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """name, or with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -56,9 +79,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def drop_written(df: DataFrame | None) -> None:
     """Deletes the folder of a table from written() that nothing reads any more."""
     if path := getattr(df, "_quire_path", None):
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
 
 
 def bounded(payload: bytes, what: str) -> bytes:

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from quire.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
+#: Columns that find() adds.
+ADDED = (*(f"n_{k}" for k in KINDS), "base_spans", "spans", "masked")
 LONGEST, SURE = 6, 0.9
 
 # Fixed patterns of the base spans. A start inside a run of digits can match only what the run's start does, so it is passed over.
@@ -347,7 +349,7 @@ def find(docs: DataFrame, field: Field | None = None, text: str = "text") -> Dat
 
     spark = common.ready(docs.sparkSession)
     held = spark.sparkContext.broadcast(common.bounded(pickle.dumps((field or trained()).w), "the field"))
-    new = [*(f"n_{k}" for k in KINDS), "base_spans", "spans", "masked"]
+    new = list(ADDED)
     keep = [c for c in docs.columns if c.lower() not in new]
     schema = StructType([*(docs.schema[c] for c in keep), *(StructField(n, LongType() if n[:2] == "n_" else StringType()) for n in new)])
 

@@ -118,13 +118,13 @@ def find(docs: DataFrame, model: Model, text: str = "text", out: str = "secrets"
     Spans of the models that overlap base spans are left out.
     """
     t = F.coalesce(F.col(text), F.lit(""))
+    b_, m_ = common.unused(docs.columns, "_base"), common.unused(docs.columns, "_more")
     none = F.expr("cast(array() as array<struct<start: int, kind: int, end: int, token: string, size: int>>)")
     base = F.array_sort(F.concat(*(F.coalesce(x, none) for x in (located(t, ASSIGN, 0, 2, 6), located(t, ACCESS, 1), located(t, HEX, 2)))))
     tokens = F.coalesce(F.filter(located(t, TOKEN, 3), lambda x: x["token"].rlike("[0-9]") & x["token"].rlike("[A-Za-z]") & (_score(x["token"], model.column()) > model.threshold)), none)
     bare = lambda a: F.transform(a, lambda x: F.struct(x["start"], x["kind"], x["end"]))
-    spans = F.when(F.size("_base") + F.size("_more") == 0, bare(none)).otherwise(let(F.col("_base"), lambda b: F.array_sort(F.concat(bare(b), bare(F.filter("_more", lambda x: ~F.exists(b, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))))))))
-    got = docs.withColumns({"_base": base, "_more": tokens})
-    return got.withColumn(out, spans).drop("_base", "_more")
+    spans = F.when(F.size(b_) + F.size(m_) == 0, bare(none)).otherwise(let(F.col(b_), lambda b: F.array_sort(F.concat(bare(b), bare(F.filter(m_, lambda x: ~F.exists(b, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))))))))
+    return docs.withColumns({b_: base, m_: tokens}).withColumn(out, spans).drop(b_, m_)
 
 
 def listed(spans: Column) -> Column:

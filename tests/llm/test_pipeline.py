@@ -56,6 +56,21 @@ def test_stages(spark, folder):
         docs = out
 
 
+def test_clashing_columns_pass_through(spark, folder):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ["_lang", "_score", "masked", "spans", "n_email", "component_id", "place", "fp", "count"]
+    docs = docs.withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})
+    for name, stage in C.STAGES:
+        out = stage(spark, docs, folder)
+        if name != "tokens":
+            assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == (None if r.doc_id is None else f"{n}{r.doc_id}") for r in rows for n in names)
+        docs = spark.createDataFrame(rows, out.schema)
+
+
 def test_run(spark, folder):
     assert {"doc_id", "text", "ids", "n_tokens"} <= set(C.run(spark, folder).columns)
 

@@ -45,9 +45,10 @@ def _components(fp, ids, most):
     return [least[k] for k in lab]
 
 
-@pytest.mark.parametrize("dense", [2, 256])
-def test_links_equal_brute_force(spark, monkeypatch, dense):
+@pytest.mark.parametrize("dense, narrow", [(2, 1 << 40), (256, 1 << 40), (256, 0)])
+def test_links_equal_brute_force(spark, monkeypatch, dense, narrow):
     monkeypatch.setattr(S, "DENSE", dense)
+    monkeypatch.setattr(S, "NARROW_FROM", narrow)
     g = np.random.default_rng(3)
     fp = g.integers(0, 2**64, 300, dtype=np.uint64)
     flips = np.array([[1 << int(b) for b in g.integers(0, 64, 8)] for _ in range(600)], np.uint64)
