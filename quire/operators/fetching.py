@@ -52,28 +52,28 @@ def figure_pages(files: DataFrame) -> DataFrame:
     return files.withColumn("page", n).where("page > 0").groupBy("page").agg(F.max_by("name", "ord").alias("name"))
 
 
-def numbered_files(files: DataFrame) -> DataFrame:
-    """Files (ord, name) with exactly one run of digits in their base name, in numeric order: (k, name, prefix, suffix, width).
+def numbered_files(files: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Files (keys, ord, name) with exactly one run of digits in their base name, in numeric order: (k, name, prefix, suffix, width).
 
     Numbers have any length: they are compared by length and digits. The pattern is that of the first file.
     """
     base = F.regexp_replace(F.substring_index("name", "/", -1), r"\.[^.]*\z", "")
     digits = F.regexp_extract(base, r"(\d+)", 1)
     t = files.where(F.regexp_count(base, F.lit(r"\d+")) == 1).withColumns({"d": F.regexp_replace(digits, r"^0+(?=\d)", ""), "base": base, "digits": digits})
-    w = Window.partitionBy(F.lit(1)).orderBy(F.length("d"), "d", "ord")
+    w = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(F.length("d"), "d", "ord")
     all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = lambda c: F.first(c).over(all_)
     at = F.instr("base", F.col("digits"))
     t = t.withColumns({"k": F.row_number().over(w), "n": F.count("*").over(all_), "prefix": first(F.substring("base", F.lit(1), at - 1)), "suffix": first(F.substring("base", at + F.length("digits"), F.length("base"))), "digits_": first(F.length("digits"))})
-    return t.select("k", "name", "prefix", "suffix", F.greatest("digits_", F.length((F.col("n") * 2).cast("string"))).alias("width"))
+    return t.select(*keys, "k", "name", "prefix", "suffix", F.greatest("digits_", F.length((F.col("n") * 2).cast("string"))).alias("width"))
 
 
-def page_numbers(spreads: DataFrame) -> DataFrame:
-    """Rows (k, name, prefix, suffix, width, pages) to one row a page with its running number and name; a file of no pages (it failed) takes no number."""
-    w = Window.partitionBy(F.lit(1)).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+def page_numbers(spreads: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (keys, k, name, prefix, suffix, width, pages) to one row a page with its running number and name; a file of no pages (it failed) takes no number."""
+    w = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     t = spreads.withColumn("before", F.coalesce(F.sum("pages").over(w), F.lit(0))).where("pages > 0")
     t = t.select("*", F.explode(F.sequence(F.lit(1), F.col("pages"))).alias("part")).withColumn("number", (F.col("before") + F.col("part")).cast("int"))
-    return t.select("name", "part", "number", F.concat("prefix", F.lpad(F.col("number").cast("string"), F.greatest(F.col("width"), F.length(F.col("number").cast("string"))), "0"), "suffix", F.lit(".png")).alias("output"))
+    return t.select(*keys, "name", "part", "number", F.concat("prefix", F.lpad(F.col("number").cast("string"), F.greatest(F.col("width"), F.length(F.col("number").cast("string"))), "0"), "suffix", F.lit(".png")).alias("output"))
 
 
 def scan_report(results: DataFrame) -> DataFrame:

@@ -314,14 +314,16 @@ def read_pages(pages: DataFrame, unnumbered: bool = False, book: str | None = No
 
     Pages without an article, a section or an h1 are left out, and unnumbered ones unless asked for.
     """
-    t = mapped(pages.select("path", "html"), lambda r: [r | h] if (h := page_head(r["html"], unnumbered)) else [], _HEAD)
-    t = t.withColumn("walk", F.split("path", "/"))
-    one = Window.partitionBy(F.lit(1))  # one book's pages
-    last = F.coalesce(F.max(F.get("number", F.lit(0))).over(one), F.lit(0))
-    rank = F.sum(F.col("unnumbered").cast("int")).over(one.orderBy("walk"))
-    t = t.withColumns({"_last": last, "_rank": rank})
-    t = t.withColumn("number", F.when(F.col("unnumbered"), F.array((F.col("_last") + F.col("_rank")).cast("int"))).otherwise(F.col("number")))
-    return t.withColumn("place", F.struct("number", "walk")).drop("_last", "_rank", "walk")
+    key = book or "book"
+    t = pages.select((F.col(book) if book else F.lit("")).cast("string").alias("book"), "path", "html")
+    t = mapped(t, lambda r: [r | h] if (h := page_head(r["html"], unnumbered)) else [], "book string, " + _HEAD)
+    # chapters for the unnumbered pages alone: no page's text goes through the window
+    last = t.groupBy("book").agg(F.coalesce(F.max(F.get("number", F.lit(0))), F.lit(0)).alias("last"))
+    rank = F.row_number().over(Window.partitionBy("book").orderBy(F.split("path", "/")))
+    given = t.where("unnumbered").select("book", "path", rank.alias("rank")).join(last, "book").select("book", "path", F.array((F.col("last") + F.col("rank")).cast("int")).alias("given"))
+    t = t.join(given, ["book", "path"], "left").withColumn("number", F.coalesce("given", "number")).drop("given")
+    t = t.withColumn("place", F.struct("number", F.split("path", "/").alias("walk")))
+    return t.withColumnRenamed("book", key) if book else t.drop("book")
 
 
 _ENTRY = "path string, ord int, title string, section string, anchor string, fields array<struct<label:string,lines:array<string>>>"

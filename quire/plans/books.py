@@ -26,7 +26,8 @@ def _ordered(t: DataFrame) -> DataFrame:
     """Adds n: the place of each row in its book, pages by number and then rows by their order in the page."""
     from pyspark.sql import Window
 
-    return t.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("place", "ord")))
+    at = t.select("path", "ord", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("place", "ord")).alias("n"))  # one book's places, without its text
+    return t.join(at, ["path", "ord"])
 
 
 def convert_commands(pages: DataFrame, labels: list[str], out: str) -> dict:
