@@ -233,7 +233,25 @@ _CELL = "replace(replace(replace(replace(replace(replace(trim(c, ' '), '\\', '\\
 _SAFE = """case when regexp_replace(trim(s), '[<>:"/\\\\|?*]', '-', 'g') = '' then '無題' else substr(regexp_replace(trim(s), '[<>:"/\\\\|?*]', '-', 'g'), 1, 60) end"""
 _X, _Y = '("left" + "right") / 2', "(top + bottom) / 2"
 
+_SITE = Relation("path string, html string", SITE)
+
 ORACLE_SQL = {
+    "site_pages": f"""with p as (select path, html, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) h from {_SITE.sql()} where contains(html, 'articleBody')),
+n as (select *, regexp_extract(h, 'section-number">([0-9.]*)\\. <', 1) number, trim(regexp_replace(regexp_replace(h, '<span class="section-number">.*?</span>|<a class="headerlink".*?</a>', '', 'g'), '<[^>]*>', '', 'g')) title,
+ regexp_extract(html, 'breadcrumb-item"><span class="section-number">([0-9]+)\\. </span>', 1) bn, regexp_extract(html, 'breadcrumb-item"><span class="section-number">[0-9]+\\. </span>([^<]*)<', 1) bt from p),
+m as (select max(try_cast(split_part(number, '.', 1) as int)) m from n), r as (select path, row_number() over (order by string_split(path, '/')) k from n where number = '')
+select path, case when number = '' then (m + k)::varchar else number end number, title, case when number <> '' and bn = split_part(number, '.', 1) then bt else title end chapter_title, number = '' unnumbered from n cross join m left join r using (path)""",
+    "html_table_grid": f"""with recursive c as (select table_id, "row" r, greatest(coalesce(try_cast(colspan as int), 1), 1) w, greatest(coalesce(try_cast(rowspan as int), 1), 1) h, text, row_number() over (partition by table_id order by "row", cell) k, max("row") over (partition by table_id) last from {CELLS.sql()}),
+s as (select table_id, 0::bigint k, -1 r, 0 col, []::struct(r int, c int, text varchar)[] held from (select distinct table_id from c)
+ union all select table_id, k, r, p + w, list_concat(held, list_transform(range(w * h), lambda i: {{'r': (r + i // w)::int, 'c': (p + i % w)::int, 'text': text}}))
+ from (select c.*, s.held, list_min(list_filter(range(20), lambda x: x >= (case when s.r = c.r then s.col else 0 end) and not list_contains(list_transform(s.held, lambda t: t.r * 100 + t.c), c.r * 100 + x)))::int p from s join c on c.table_id = s.table_id and c.k = s.k + 1)),
+f as (select table_id, arg_max(held, k) held from s group by table_id), u as (select table_id, unnest(held) t from f) select u.table_id, t.r as "row", t.c as col, t.text as text from u join (select distinct table_id, last from c) l on l.table_id = u.table_id where t.r <= last""",
+    "scan_halves": """with px as (select name, x, y, case when name = 'dark' and x = 20 then 0 else 255 end v from (values ('white'), ('dark')) n(name), range(40) a(x), range(40) b(y)),
+w as (select name, bool_and(v >= 250) filter (x between 4 and 36 and y between 2 and 37) spread, count(*) filter (y between 2 and 37) // count(distinct x) h, count(distinct x) w from px group by name)
+select name, part::int part, (case when spread then w // 2 else w end)::int w, h::int h from (select *, unnest(generate_series(1, case when spread then 2 else 1 end)) part from w)""",
+    "ruled_table_cells": f"""with r as (select *, pos - lag(pos) over (partition by page, vertical order by pos) d from {RULES.sql()}), k as (select *, sum(case when d <= 1 then 0 else 1 end) over (partition by page, vertical order by pos rows unbounded preceding) c from r),
+a as (select page, vertical, c, (min(pos) + max(pos)) / 2 p from k group by all), x as (select page, p, row_number() over (partition by page order by p) - 1 i, lead(p) over (partition by page order by p) q from a where vertical), y as (select page, p, row_number() over (partition by page order by p desc) - 1 i, lead(p) over (partition by page order by p desc) q from a where not vertical),
+g as (select * from {Relation(GLYPHS.schema, CELL_GLYPHS).sql()}) select 'd' doc, x.page, 0 ord, y.i::int "row", x.i::int col, coalesce(string_agg(g.r, '' order by g."left"), '') text from x join y on x.page = y.page left join g on g.page = x.page and (g."left" + g."right") / 2 between x.p and x.q and (g.top + g.bottom) / 2 between y.q and y.p where x.q is not null and y.q is not null group by all""",
     "page_list_items": """with n as (select page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>(.*?)</li>', 1) l from pages),
 i as (select page_id, unnest(l) x, generate_subscripts(l, 1) - 1 ord from n) select page_id, ord::int ord, trim(regexp_replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t\\r\\n]+', ' ', 'g')) item from i""",
     "markdown_tables": f"""with t as (select * from {TABLES.sql()}), w as (select id, max(len(cells)) w from t group by id), p as (select t.id, "row", w, unnest(generate_series(1, w)) i, cells from t join w using (id)),
