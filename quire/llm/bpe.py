@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quire.llm import common
 
 #: A piece of this many bytes or more isn't remembered; two generations of so many pieces are.
-CACHE_BYTES, CACHE_PIECES = 64, 500_000
+CACHE_BYTES, CACHE_PIECES = 64, 300_000
 
 
 class Vocabulary:
@@ -31,6 +31,7 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
+        self.sizes = {i: len(t) for t, i in ranks.items()}
         #: Lengths, largest first, of the tokens of two bytes or more that end in these two.
         ends: dict[bytes, set[int]] = {}
         for t in ranks:
@@ -64,7 +65,7 @@ class Vocabulary:
     def follows(self, p: int, t: int) -> bool:
         """May t come right after p?"""
         if (known := self._follows.get((p, t))) is None:
-            if len(self._follows) > 1_000_000:
+            if len(self._follows) > 300_000:
                 self._follows.clear()
             known = self._follows[p, t] = self.merged(self.tokens[p] + self.tokens[t]) == [p, t]
         return known
@@ -80,41 +81,17 @@ class Prefixes:
         self.v, self.data, self.last = vocabulary, b"", []
         self.append(data)
 
-    def _entries(self, start: int, stop: int):
-        """The last tokens of the prefixes that end at these bytes; last must hold those before."""
-        v, data, last = self.v, self.data, self.last
-        ranks, ends, known, follows = v.ranks, v.ends, v._follows, v.follows
-        for i in range(start, stop):
-            end = i + 1
-            for n in ends.get(data[i - 1 : end], ()) if i else ():
-                if n <= i:
-                    if (t := ranks.get(data[end - n : end])) is not None:
-                        p = last[i - n]
-                        if (ok := known.get((p, t))) is None:
-                            ok = follows(p, t)
-                        if ok:
-                            break
-                elif n == end and (t := ranks.get(data[:end])) is not None and v.whole(t):
-                    break
-            else:
-                if (t := ranks.get(data[i:end])) is None:
-                    raise ValueError(f"the vocabulary lacks the byte {data[i]}")
-                if i and not follows(last[i - 1], t):
-                    raise ValueError("the ranks aren't those of byte pair merges")
-            yield t
-
     def append(self, more: bytes) -> None:
-        at, self.data, put = len(self.data), self.data + more, self.last.append
-        for t in self._entries(at, len(self.data)):
-            put(t)
+        self.data += more
+        _extend(self.v, self.data, self.last, len(self.data))
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replaces data[start:stop]. Returns the number of entries computed: it ends where a longest token's length of them is as before."""
         old, moved = self.last[stop:], start + len(new)
         self.data, self.last = self.data[:start] + new + self.data[stop:], self.last[:start]
         alike = 0
-        for i, t in enumerate(self._entries(start, len(self.data)), start):
-            self.last.append(t)
+        for i in range(start, len(self.data)):
+            _extend(self.v, self.data, self.last, i + 1)
             alike = alike + 1 if i >= moved and old[i - moved] == self.last[-1] else 0
             if alike >= self.v.longest:
                 self.last += old[i + 1 - moved :]
@@ -122,11 +99,39 @@ class Prefixes:
         return len(self.data) - start
 
     def ids(self) -> list[int]:
-        out, i = [], len(self.last) - 1
-        while i >= 0:
-            out.append(self.last[i])
-            i -= len(self.v.tokens[self.last[i]])
-        return out[::-1]
+        return _back(self.v, self.last)
+
+
+def _extend(v: Vocabulary, data: bytes, last: list[int], stop: int) -> None:
+    """Puts into last the entries of the prefixes up to `stop` bytes."""
+    ranks, ends, known, follows, put = v.ranks.get, v.ends.get, v._follows, v.follows, last.append
+    for i in range(len(last), stop):
+        end = i + 1
+        if i:
+            for n in ends(data[i - 1 : end], ()):
+                if n <= i:
+                    if (t := ranks(data[end - n : end])) is not None:
+                        p = last[i - n]
+                        if known[p, t] if (p, t) in known else follows(p, t):
+                            break
+                elif n == end and (t := ranks(data[:end])) is not None and v.whole(t):
+                    break
+            else:
+                if (t := ranks(data[i:end])) is None:
+                    raise ValueError(f"the vocabulary lacks the byte {data[i]}")
+                if not follows(last[i - 1], t):
+                    raise ValueError("the ranks aren't those of byte pair merges")
+        elif (t := ranks(data[:1])) is None:
+            raise ValueError(f"the vocabulary lacks the byte {data[0]}")
+        put(t)
+
+
+def _back(v: Vocabulary, last: list[int]) -> list[int]:
+    out, i, size = [], len(last) - 1, v.sizes
+    while i >= 0:
+        out.append(last[i])
+        i -= size[last[i]]
+    return out[::-1]
 
 
 class Encoder:
@@ -141,7 +146,12 @@ class Encoder:
         if (known := self.old.get(piece)) is None:
             data = piece.encode()
             whole = self.v.ranks.get(data)
-            known = (whole,) if whole is not None else tuple(Prefixes(self.v, data).ids())
+            if whole is not None:
+                known = (whole,)
+            else:
+                last: list[int] = []
+                _extend(self.v, data, last, len(data))
+                known = tuple(_back(self.v, last))
             if len(data) >= CACHE_BYTES:
                 return known
         if len(self.new) >= CACHE_PIECES:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Largest object the operators broadcast to executors, in bytes. Every broadcast is checked against it.
 BROADCAST_LIMIT = 64 << 20
 #: Arrow batches to Python workers hold at most so many rows and bytes.
-BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 

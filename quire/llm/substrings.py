@@ -193,4 +193,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_substring_dedup": op3}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_substring_dedup": r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+x as (select doc_id, ws, unnest(generate_series(1, len(ws) - 49)) i from w where len(ws) >= 50),
+h as (select doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) h from x),
+f as (select h, min(doc_id) least from h group by h having min(doc_id) < max(doc_id)),
+c as (select distinct doc_id, unnest(generate_series(i, i + 49)) p from h join f using (h) where doc_id > least),
+o as (select doc_id, unnest(ws) word, generate_subscripts(ws, 1) p from w),
+k as (select o.doc_id, string_agg(word, ' ' order by o.p) filter (c.p is null) kept, count(c.p) gone from o left join c on c.doc_id = o.doc_id and c.p = o.p group by o.doc_id)
+select w.doc_id, len(ws)::bigint n_words, coalesce(gone, 0)::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256 from w left join k using (doc_id)"""
+}
