@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quire.functions import commands as C
 
+# The order of operations, and the variable that holds a password where nothing else does.
 OPERATIONS = ("show", "backup", "config", "save")
+DEFAULT_PASSWORD = "IX_PASS"
 
 
 def _first(*names: str) -> Column:
@@ -58,7 +60,7 @@ def auth_source(flag: Column, env: Column) -> Column:
         F.when(flag != "", F.when(get(flag).isNotNull(), F.concat(F.lit("variable "), flag)).otherwise(F.concat(F.lit("error: empty variable "), flag)))
         .when(_first("password").isNotNull(), F.lit("inventory"))
         .when(get(_first("password_env")).isNotNull(), F.concat(F.lit("variable "), _first("password_env")))
-        .when(get(F.lit("IX_PASS")).isNotNull(), F.lit("variable IX_PASS"))
+        .when(get(F.lit(DEFAULT_PASSWORD)).isNotNull(), F.lit(f"variable {DEFAULT_PASSWORD}"))
         .otherwise(F.lit("none"))
     )
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
+# Statuses that are tried again, attempts, seconds; the series whose books are web pages.
 RETRIED = (429, 500, 502, 503, 504)
 ATTEMPTS, LONGEST_WAIT = 3, 30
+WEB_SERIES = "ix-r"
 
 
 def retry_delay(status: Column, header: Column, attempt: Column, least: Column, now: Column) -> Column:
@@ -85,7 +87,7 @@ def completed_docs(docs: DataFrame) -> DataFrame:
     """Manifest rows with their defaults: kind, profile, version (for a PDF from the query's file name), title, name, in this order."""
     empty = lambda c: F.nullif(F.col(c), F.lit(""))
     file = F.url_decode(F.coalesce(F.try_parse_url("url", F.lit("QUERY"), F.lit("file")), F.lit("")))
-    t = docs.withColumn("kind", F.coalesce(empty("kind"), F.when(F.col("series") == "ix-r", F.lit("web")).otherwise(F.lit("pdf"))))
+    t = docs.withColumn("kind", F.coalesce(empty("kind"), F.when(F.col("series") == WEB_SERIES, F.lit("web")).otherwise(F.lit("pdf"))))
     t = t.withColumn("profile", F.coalesce(empty("profile"), F.concat(F.lit("profiles/"), "series", F.lit("-"), "book", F.lit(".json"))))
     t = t.withColumn("version", F.coalesce(empty("version"), F.when(F.col("kind") == "pdf", F.regexp_extract(file, r"(\d+(?:\.\d+)+[a-z]?)", 1)), F.lit("")))
     t = t.withColumn("title", F.coalesce(empty("title"), F.concat_ws(" ", "series", "book")))

@@ -66,7 +66,7 @@ def table_rows(tables: DataFrame, index: DataFrame) -> DataFrame:
     t = tables.where(F.size("rows") >= 2).withColumns({f"_{k}": where(v) for k, v in COLUMNS.items()})
     swap = F.col("_command").isNull() & (F.col("kind") == "renamed")
     t = t.withColumns({"_command": F.when(swap, F.col("_left")).otherwise(F.col("_command")), "_left": F.when(~swap, F.col("_left"))}).where("_command is not null")
-    t = t.select("table_id", "kind", "ref", *(f"_{k}" for k in COLUMNS), F.posexplode(F.slice("rows", 2, 1_000_000)).alias("row_no", "row"))
+    t = t.select("table_id", "kind", "ref", *(f"_{k}" for k in COLUMNS), F.posexplode(F.slice("rows", F.lit(2), F.size("rows") - 1)).alias("row_no", "row"))
     cell = lambda k: F.coalesce(F.get("row", F.col(f"_{k}").cast("int") - 1), F.lit(""))
     t = t.withColumns({k: cell(k) for k in COLUMNS})
     t = t.withColumns({"rights": C.cell_lines(F.col("right")), "opened": F.flatten(F.transform(C.cell_lines(F.col("command")), lambda x: C.open_alternatives(x)))})

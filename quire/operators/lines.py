@@ -64,7 +64,7 @@ def entries(lines: DataFrame, book: str, marker: str, labels: list[str], page: s
     rows = rows.withColumn("field", F.sum((F.col("_label").isNotNull() & ~F.col("_mark")).cast("int")).over(we))
     rows = rows.withColumn("_line", F.when(F.col("_mark"), F.lit(None)).when(F.col("_label").isNotNull(), F.when(F.col("_t") != F.col("_label"), T.trim(F.substring(F.col("_t"), F.length("_label") + 1, F.length("_t"))))).when(F.col("_t") == "", F.lit("")).otherwise(F.col("line")))
     place = F.struct(F.col(page), F.col(order), F.col("_line").alias("line"))
-    got = rows.groupBy(book, "entry", "field").agg(F.first(F.when(F.col("_mark"), T.trim(F.substring(F.col("_t"), len(marker) + 1, 10_000))), ignorenulls=True).alias("title"), F.min(F.when(F.col("_mark"), F.col(page))).alias("page"), F.first(F.when(~F.col("_mark"), F.col("_label")), ignorenulls=True).alias("label"), F.array_sort(F.collect_list(F.when(F.col("_line").isNotNull(), place))).alias("x"))
+    got = rows.groupBy(book, "entry", "field").agg(F.first(F.when(F.col("_mark"), T.trim(F.substring(F.col("_t"), F.lit(len(marker) + 1), F.length("_t")))), ignorenulls=True).alias("title"), F.min(F.when(F.col("_mark"), F.col(page))).alias("page"), F.first(F.when(~F.col("_mark"), F.col("_label")), ignorenulls=True).alias("label"), F.array_sort(F.collect_list(F.when(F.col("_line").isNotNull(), place))).alias("x"))
     head = got.where("title is not null").select(book, "entry", "title", "page")
     body = got.where("field > 0").select(book, "entry", "field", T.normalize_label(F.col("label")).alias("label"), F.col("x.line").alias("lines"))
     return head.join(body, [book, "entry"], "left")

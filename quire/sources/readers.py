@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quire.functions import commands as C
 from quire.functions import text as T
 
-# A profile's defaults, and header lines of the files.
+# The variable that names an inventory, a profile's defaults, and header lines of the files.
 PROFILE = {
     "name": "crm", "pageWidth": 516.0, "pageHeight": 728.88, "marginTop": 45.0, "marginBottom": 45.0, "columns": 2, "gutterLeft": 256.0, "gutterRight": 262.0, "headerBand": 690.0, "footerBand": 690.0, "entryMarker": "■",
     "fieldLabels": ["入力形式", "パラメータ", "説明", "デフォルト値", "実行モード", "ユーザ権限", "入力例", "ノート"], "webUnnumberedHeadings": False, "chapterSep": "", "footerSection": False, "headingMinSize": 0.0,
@@ -20,6 +20,7 @@ PROFILE = {
 COMMANDS_HEADER = ("command", "entry", "file", "line", "source")
 SECTIONS_HEADER = ("section", "title", "file", "line", "source")
 DERIVED_HEADER = ("kind", "ix", "ix-r", "ref_ix", "ref_ixr", "note")
+INVENTORY_VARIABLE = "IX_INVENTORY"
 DOC_FIELDS = ("name", "series", "book", "kind", "url", "version", "versionSource", "profile", "title")
 _BOM = "^\\x{FEFF}"
 
@@ -145,7 +146,7 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
 
 def inventory_path(override: str | None, env: dict[str, str], default: str) -> tuple[str, bool]:
     """(path, may be absent): the flag, else the variable, else the default, which alone may be absent."""
-    named = override or env.get("IX_INVENTORY", "")
+    named = override or env.get(INVENTORY_VARIABLE, "")
     return (named, False) if named else (default, True)
 
 
