@@ -10,8 +10,21 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 
+#: Arrow batches to Python workers hold at most so many rows and bytes.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def _bounded(df: DataFrame) -> None:
+    conf = df.sparkSession.conf
+    for key, most in BATCH.items():
+        now = int("".join(c for c in conf.get(key, "0") if c.isdigit()) or 0)
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+
+
 def mapped(df: DataFrame, f: Callable[[dict], list[dict]], schema: str) -> DataFrame:
     """f(row) -> rows, for every row; a batch at a time goes to Python and back."""
+    _bounded(df)
     kind = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
