@@ -17,7 +17,7 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execu
 def _bounded(df: DataFrame) -> None:
     conf = df.sparkSession.conf
     for key, most in BATCH.items():
-        now = int("".join(c for c in conf.get(key, "0") if c.isdigit()) or 0)
+        now = int("".join(c for c in conf.get(key) if c.isdigit()) or 0)
         if not 0 < now <= most:
             conf.set(key, str(most))
 
