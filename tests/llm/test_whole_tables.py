@@ -1,0 +1,85 @@
+"""The registered queries over a whole small table, against brute force."""
+
+import os
+import re
+import zlib
+from hashlib import sha256
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+
+from quire.llm import bpe, decontaminate, langid, pii, quality, secrets, simhash
+from tests.llm.test_models import pii_base, secret_base
+from tests.llm.test_simhash import _components, reference
+
+DATA = os.environ.get("QUIRE_TEST_DATA", "/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+
+
+def test_op4(spark, docs):
+    plain = lambda s: " " + " ".join(re.findall(r"[^\W_]+", s.lower())) + " "
+    items = [(r.item_id, plain(r.text)) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    want = {(d, i) for d, r in docs.items() for i, t in items if t in plain(r.text or "")}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.op4(spark, DATA).collect()}
+    assert want <= got and len(got - want) <= 1
+
+
+def test_op5(spark, docs):
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = bpe.Vocabulary.parse(f.read()).ranks
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = bpe.op5(spark, DATA).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        text = docs[r.doc_id].text or ""
+        ids = library.encode_ordinary(text)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256(text.encode()).hexdigest())
+
+
+def test_op6(spark, docs):
+    got = simhash.op6(spark, DATA).collect()
+    fp = np.array([reference(docs[r.doc_id].text) for r in got], np.uint64)
+    assert [r.fingerprint for r in got] == [format(int(x), "016x") for x in fp]
+    assert [r.component_id for r in got] == [int(x) for x in _components(fp, [r.doc_id for r in got], 4)]
+
+
+def test_op7(spark, docs):
+    got = langid.op7(spark, DATA).collect()
+    assert len(got) == len(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    assert np.mean([r.lang_pred == docs[r.doc_id].lang for r in got if r.held_out]) > 0.95
+
+
+def test_op8(spark, docs):
+    got = quality.op8(spark, DATA).collect()
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    assert len(got) == len(docs) and all(r.predicted == (r.score >= 0.5) for r in got)
+    assert np.mean([r.predicted == label[r.doc_id] for r in got if r.held_out and r.doc_id in label]) > 0.8
+
+
+def _digest(spans):
+    return sha256(",".join(spans).encode()).hexdigest()
+
+
+def test_op9(spark, docs):
+    got = secrets.op9(spark, DATA).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        base = secret_base(docs[r.doc_id].text)
+        assert r.base_sha256 == _digest(base) and (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x.startswith(k) for x in base) for k in ("assign", "access", "hex"))
+        assert set(base) <= set(r.spans.split(",")) | {""}
+
+
+def test_op10(spark, docs):
+    got = pii.op10(spark, DATA).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        base = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in pii_base(docs[r.doc_id].text or "")]
+        assert r.base_sha256 == _digest(base) and [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x.startswith(k) for x in base) for k in pii.KINDS]
+        assert set(base) <= set(r.spans.split(",")) | {""}
