@@ -18,7 +18,8 @@ distinct fingerprint.
 Similar texts. Texts whose shingle sets overlap by 0.8 differ in about a seventh of their bits, ten of 64; no grid of segment
 counts tells such pairs from others. similar() finds them with fingerprints of WIDE words of 64 bits: texts that agree in one
 of BANDS short bands meet in a cell, and the distance over all bits estimates the angle, so the similarity. A band is
-longer where there are more fingerprints, so that cells stay small.
+longer where there are more fingerprints, so that cells stay small. Links of SURE bits or fewer stand; the others that join
+what these leave apart are verified on the texts' shingle sets.
 """
 
 from __future__ import annotations
@@ -69,6 +70,10 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id"
 
 #: 64-bit words of a wide fingerprint; bits of a band and bands. At a similarity of 0.8 one pair in a hundred meets in no band.
 WIDE, BAND_BITS, BANDS = 6, 12, 32
+#: Wide fingerprints of so few differing bits are links without a look at the texts: 0.88 is expected there, 0.8 is 2.6 deviations away.
+SURE = 40
+#: So many ids are broadcast to pick out texts; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def wide_fingerprint(text: str | None, shingle_words: int = 5) -> np.ndarray:
@@ -101,7 +106,7 @@ def most_bits(similarity: float, sigmas: float = 1.25) -> int:
 
 
 def similar(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Rows (doc_id, component_id) for every row of docs: components of the links between texts that are alike or whose shingles' estimated similarity is `similarity` or more.
+    """Rows (doc_id, component_id) for every row of docs: components of the links between texts that are alike or whose shingle sets' similarity is `similarity` or more.
 
     A row with a null id links nothing and has a null component; texts without words are alike.
     """
@@ -129,18 +134,51 @@ def similar(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) ->
         return {"cell": cell, "rep": b.column(WIDE).to_numpy()[rows], **{n: x[rows, k] for k, n in enumerate(names)}}
 
     put = common.arrow_map(distinct.select(*names, "rep"), spread, "cell bigint, rep bigint, " + ", ".join(f"{n} bigint" for n in names))
-    scan = _scan(lambda fp, a, b: _wide_near(fp, a, b, most), range(2, 2 + WIDE))
-    edges = put.repartition("cell").sortWithinPartitions("cell").mapInArrow(scan, "a bigint, b bigint")
-    joined = common.components(edges)
+    scan = _scan(lambda fp, a, b: _wide_distance(fp, a, b, most), range(2, 2 + WIDE), SURE)
+    edges = put.repartition("cell").sortWithinPartitions("cell").mapInArrow(scan, "a bigint, b bigint, d bigint")
+    edges = common.written(edges.selectExpr("least(a, b) a", "greatest(a, b) b", "d").distinct(), "links")
+    sure = edges.where(F.col("d") <= SURE).select("a", "b")
+    part = common.written(common.components(sure), "parts")
+    maybe = edges.where(F.col("d") > SURE).join(part.toDF("a", "ca"), "a", "left").join(part.toDF("b", "cb"), "b", "left")
+    maybe = common.written(maybe.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "unsure")
+    joined = common.components(sure.unionByName(_verified(maybe, docs, shingle_words, similarity)))
     known = common.written(distinct.join(joined, distinct.rep == joined.node, "left").select(*names, F.coalesce("comp", "rep").alias("comp")), "known")
     return made.join(known, names, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("comp")).alias("component_id"))
 
 
-def _wide_near(fp: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+def _wide_distance(fp: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     near = np.bitwise_count(fp[a, 0] ^ fp[b, 0]) <= min(64, most // WIDE + 14)
+    out = np.full(near.shape, -1, np.int64)
     a, b = np.broadcast_arrays(a, b)
-    near[near] = np.bitwise_count(fp[a[near]] ^ fp[b[near]]).sum(1, dtype=np.int64) <= most
-    return near
+    d = np.bitwise_count(fp[a[near]] ^ fp[b[near]]).sum(1, dtype=np.int64)
+    out[near] = np.where(d <= most, d, -1)
+    return out
+
+
+def jaccard(a: str | None, b: str | None, shingle_words: int) -> float:
+    """Exact similarity of two texts' shingle sets; 1 for two without words."""
+
+    def grams(t: str | None) -> set:
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + shingle_words]) for i in range(max(1, len(w) - shingle_words + 1))}
+
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """The rows (a, b) of pairs whose documents' texts are as similar as that. Only the texts that pairs name are moved."""
+    ids = pairs.selectExpr("explode(array(a, b)) doc_id").distinct()
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+
+    def run(batches):
+        for b in batches:
+            keep = pa.array([jaccard(x, y, shingle_words) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield b.select(["a", "b"]).filter(keep)
+
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 #: From so many distinct fingerprints on, segments have one bit: a half's cells then are 3e-7 of all pairs instead of 7e-5.
@@ -179,17 +217,19 @@ def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def linked(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Where the exact distance is at most `most`; the bound goes first, on the pairs that the cheap total of set bits leaves."""
+def distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Exact distances up to `most`, -1 for more; the bound goes first, on the pairs that the cheap total of set bits leaves."""
     near = np.abs(np.bitwise_count(a).astype(np.int8) - np.bitwise_count(b).astype(np.int8)) <= most
     a, b = np.broadcast_arrays(a, b)
     near[near] = bound(a[near], b[near]) <= most
-    near[near] = np.bitwise_count(a[near] ^ b[near]) <= most
-    return near
+    out = np.full(near.shape, -1, np.int64)
+    d = np.bitwise_count(a[near] ^ b[near]).astype(np.int64)
+    out[near] = np.where(d <= most, d, -1)
+    return out
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list, list]:
-    """A spanning forest of the edges."""
+def _forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[list, list, list]:
+    """A spanning forest of the edges, short ones first."""
     up: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -197,60 +237,77 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list, list]:
             up[x] = x = up.get(y, y)
         return x
 
-    out: tuple[list, list] = ([], [])
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+    out: tuple[list, list, list] = ([], [], [])
+    order = np.argsort(d, kind="stable")
+    for x, y, n in zip(a[order].tolist(), b[order].tolist(), d[order].tolist(), strict=True):
         if (r := root(x)) != (s := root(y)):
             up[max(r, s)] = min(r, s)
-            out[0].append(x)
-            out[1].append(y)
+            for o, v in zip(out, (x, y, n), strict=True):
+                o.append(v)
     return out
 
 
-def _dense(fp: np.ndarray, rep: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one large run that connect what its links connect: breadth first, members leave the search once reached."""
-    a, b = [], []
+def _dense(fp: np.ndarray, rep: np.ndarray, near, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of one large run that connect what its links connect. Members reached by a sure link leave the search at once; then each of the parts so made takes in others by its shortest links to them."""
+    out: list[tuple] = []
+    part, parts = np.full(len(rep), -1), 0
     left = np.arange(len(rep))
     while len(left):
-        front, left = [left[0]], left[1:]
+        front, part[left[0]], left = [left[0]], parts, left[1:]
         while front and len(left):
             at = front.pop()
-            hit = near(fp, np.array([at]), left)
+            d = near(fp, np.array([at]), left)
+            hit = (d >= 0) & (d <= sure)
             if hit.any():
-                a.append(np.full(hit.sum(), rep[at]))
-                b.append(rep[left[hit]])
+                out.append((np.full(hit.sum(), rep[at]), rep[left[hit]], d[hit]))
+                part[left[hit]] = parts
                 front += left[hit].tolist()
                 left = left[~hit]
-    return (np.concatenate(a), np.concatenate(b)) if a else (rep[:0], rep[:0])
-
-
-def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, near) -> tuple[list, list]:
-    """Of whole sorted runs. near(fp, a, b): which of the pairs of places are links."""
+        parts += 1
+    left = np.arange(len(rep))
+    while len(left):
+        own = part[left] == part[left[0]]
+        front, left = left[own].tolist(), left[~own]
+        while front and len(left):
+            at = front.pop()
+            d = near(fp, np.array([at]), left)
+            hit = np.flatnonzero(d > sure)
+            if len(hit):
+                hit = hit[np.argsort(d[hit], kind="stable")]
+                hit = hit[np.unique(part[left[hit]], return_index=True)[1]]  # the shortest to each part
+                out.append((np.full(len(hit), rep[at]), rep[left[hit]], d[hit]))
+                took = np.isin(part[left], part[left[hit]])
+                front += left[took].tolist()
+                left = left[~took]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (rep[:0],) * 3
+
+
+def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, near, sure: int) -> tuple[list, list, list]:
+    """Of whole sorted runs. near(fp, a, b): the distances of pairs of places that are links, else -1."""
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
-    a, b = [rep[:0]], [rep[:0]]
+    found = [(rep[:0],) * 3]
     for s, n in zip(start[size > DENSE], size[size > DENSE], strict=True):
-        x, y = _dense(fp[s : s + n], rep[s : s + n], near)
-        a.append(x)
-        b.append(y)
+        found.append(_dense(fp[s : s + n], rep[s : s + n], near, sure))
     at = np.flatnonzero(np.repeat((size <= DENSE) & (size > 1), size))
     end = np.repeat(start + size, size)
     step = 1
     while len(at := at[at + step < end[at]]):
-        hit = near(fp, at, at + step)
-        a.append(rep[at[hit]])
-        b.append(rep[at[hit] + step])
+        d = near(fp, at, at + step)
+        hit = d >= 0
+        found.append((rep[at[hit]], rep[at[hit] + step], d[hit]))
         step += 1
-    return _forest(np.concatenate(a), np.concatenate(b))
+    return _forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
-def _scan(near, prints: range):
-    """Reads sorted rows (cell, rep, ..., fingerprint words ...); gives out the links' forest of each batch of whole cells."""
+def _scan(near, prints: range, sure: int):
+    """Reads sorted rows (cell, rep, ..., fingerprint words ...); gives out the links' forest of each batch of whole cells, with their distances."""
 
     def edge(got: list[np.ndarray]):
         fp = np.stack([got[k] for k in prints], axis=1).view(np.uint64)
-        a, b = _links(got[0], fp, got[1], near)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        found = _links(got[0], fp, got[1], near, sure)
+        if found[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b", "d"])
 
     def scan(batches):
         held: list = []
@@ -284,7 +341,7 @@ def links(distinct: DataFrame, most: int = 4) -> DataFrame:
 
     put = common.arrow_map(distinct.select("fp", "rep"), spread, "cell bigint, rep bigint, fp bigint")
     put = put.repartition("cell").sortWithinPartitions("cell")
-    return put.mapInArrow(_scan(lambda fp, a, b: linked(fp[a, 0], fp[b, 0], most), range(2, 3)), "a bigint, b bigint")
+    return put.mapInArrow(_scan(lambda fp, a, b: distances(fp[a, 0], fp[b, 0], most), range(2, 3), most), "a bigint, b bigint, d bigint").select("a", "b")
 
 
 def groups(prints: DataFrame, most: int = 4) -> DataFrame:

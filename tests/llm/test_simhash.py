@@ -110,3 +110,27 @@ def test_components(spark):
     got = {r.node: r.comp for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 150: 100, 200: 100, 300: 300, 301: 300} | {1000 + i: 1000 for i in range(201)}
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_unsure_links_are_verified(spark):
+    g = random.Random(8)
+    word = lambda: "".join(g.choices("abcdefghij", k=4))
+    rows, want = [], {}
+    for i in range(60):
+        b = [word() for _ in range(200)]
+        c = list(b)
+        for at in range(0, 200, 40 if i % 2 else 14):  # 5 or 15 words spread out: a similarity near 0.77 or 0.48
+            c[at] = word()
+        rows += [(2 * i, " ".join(b)), (2 * i + 1, " ".join(c))]
+        want[2 * i + 1] = 2 * i if S.jaccard(rows[-2][1], rows[-1][1], 5) >= 0.8 else 2 * i + 1
+    got = {r.doc_id: r.component_id for r in S.similar(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()}
+    apart = [k for k, v in want.items() if v == k]
+    alike = [k for k, v in want.items() if v != k]
+    assert apart and all(got[k] == k for k in apart)
+    assert alike and sum(got[k] == k - 1 for k in alike) >= 0.85 * len(alike)  # right at the border
+    loose = {r.doc_id: r.component_id for r in S.similar(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.75).collect()}
+    assert sum(loose[2 * i + 1] == 2 * i for i in range(1, 60, 2)) > 25
+
+
+def test_jaccard():
+    assert S.jaccard("a b c", "A  b c", 5) == 1 and S.jaccard(None, "", 5) == 1 and S.jaccard("a b c d e f", "a b c d e g", 5) == 1 / 3
