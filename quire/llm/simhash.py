@@ -247,8 +247,8 @@ def _forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[list, list, li
     return out
 
 
-def _dense(fp: np.ndarray, rep: np.ndarray, near, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of one large run that connect what its links connect. Members reached by a sure link leave the search at once; then each of the parts so made takes in others by its shortest links to them."""
+def _dense(fp: np.ndarray, rep: np.ndarray, near, sure: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of one large run that connect what its links connect. Members reached by a sure link leave the search at once (without `sure` every link is); then each of the parts so made takes in others by its shortest links to them."""
     out: list[tuple] = []
     part, parts = np.full(len(rep), -1), 0
     left = np.arange(len(rep))
@@ -257,14 +257,14 @@ def _dense(fp: np.ndarray, rep: np.ndarray, near, sure: int) -> tuple[np.ndarray
         while front and len(left):
             at = front.pop()
             d = near(fp, np.array([at]), left)
-            hit = (d >= 0) & (d <= sure)
+            hit = d >= 0 if sure is None else (d >= 0) & (d <= sure)
             if hit.any():
                 out.append((np.full(hit.sum(), rep[at]), rep[left[hit]], d[hit]))
                 part[left[hit]] = parts
                 front += left[hit].tolist()
                 left = left[~hit]
         parts += 1
-    left = np.arange(len(rep))
+    left = np.arange(len(rep) if sure is not None else 0)
     while len(left):
         own = part[left] == part[left[0]]
         front, left = left[own].tolist(), left[~own]
@@ -282,7 +282,7 @@ def _dense(fp: np.ndarray, rep: np.ndarray, near, sure: int) -> tuple[np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (rep[:0],) * 3
 
 
-def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, near, sure: int) -> tuple[list, list, list]:
+def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, near, sure: int | None) -> tuple[list, list, list]:
     """Of whole sorted runs. near(fp, a, b): the distances of pairs of places that are links, else -1."""
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
@@ -300,7 +300,7 @@ def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, near, sure: int) ->
     return _forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
-def _scan(near, prints: range, sure: int):
+def _scan(near, prints: range, sure: int | None = None):
     """Reads sorted rows (cell, rep, ..., fingerprint words ...); gives out the links' forest of each batch of whole cells, with their distances."""
 
     def edge(got: list[np.ndarray]):
@@ -341,7 +341,7 @@ def links(distinct: DataFrame, most: int = 4) -> DataFrame:
 
     put = common.arrow_map(distinct.select("fp", "rep"), spread, "cell bigint, rep bigint, fp bigint")
     put = put.repartition("cell").sortWithinPartitions("cell")
-    return put.mapInArrow(_scan(lambda fp, a, b: distances(fp[a, 0], fp[b, 0], most), range(2, 3), most), "a bigint, b bigint, d bigint").select("a", "b")
+    return put.mapInArrow(_scan(lambda fp, a, b: distances(fp[a, 0], fp[b, 0], most), range(2, 3)), "a bigint, b bigint, d bigint").select("a", "b")
 
 
 def groups(prints: DataFrame, most: int = 4) -> DataFrame:
