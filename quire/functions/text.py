@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 # Unicode white space, what folds into one space, and the characters of the tests below.
 SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 FOLDED = r"[ \t\r\n\x{3000}]+"
 GLYPH_SPACE = r"[\t-\r \x{00}\x{A0}\x{3000}\x{FEFF}]"
 JAPANESE = r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{FF66}-\x{FF9D}]"
@@ -25,7 +26,7 @@ VERSION = r"[A-Za-z0-9]+(?:[._+-][A-Za-z0-9]+)*"
 
 def trim(s: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(s, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(s, F.lit(SPACES))
 
 
 def collapse(s: Column) -> Column:
@@ -109,14 +110,14 @@ def is_empty_field(lines: Column) -> Column:
     return (F.size(lines) == 1) & trim(F.get(lines, F.lit(0))).isin(*EMPTY_FIELDS)
 
 
-def line_rule(s: Column) -> Column:
-    """Which rule classifies the line: blank, bullet, sentence, gap, foreign, short or long."""
-    t = trim(s)
+def line_rule(s: Column, trimmed: Column | None = None) -> Column:
+    """Which rule classifies the line: blank, bullet, sentence, gap, foreign, short or long. trimmed: trim(s), where it is at hand as a column."""
+    t = trim(s) if trimmed is None else trimmed
     return (
         F.when(t == "", F.lit("blank"))
         .when(is_bullet(t), F.lit("bullet"))
-        .when(ends_sentence(t), F.lit("sentence"))
-        .when(interior_gap(s) >= 3, F.lit("gap"))
+        .when(F.substring(t, -1, 1).isin("。", "！", "？", "!", "?"), F.lit("sentence"))
+        .when(F.contains(s, F.lit("   ")) & (interior_gap(s) >= 3), F.lit("gap"))
         .when(~has_japanese(t), F.lit("foreign"))
         .when(F.length(t) < 22, F.lit("short"))
         .otherwise(F.lit("long"))

@@ -38,7 +38,7 @@ def _line_source(spark, sf):
 
 def line_kind_counts(spark, sf):
     """Lines by the rule that classifies them."""
-    t = _line_source(spark, sf).select(T.line_rule(F.col("line")).alias("rule"))
+    t = _line_source(spark, sf).withColumn("t", T.trim(F.col("line"))).select(T.line_rule(F.col("line"), F.col("t")).alias("rule"))
     return t.groupBy("rule").agg(F.count("*").alias("n")).select("rule", T.line_kind(F.col("rule")).alias("kind"), "n")
 
 
