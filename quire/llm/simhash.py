@@ -19,7 +19,8 @@ Similar texts. Texts whose shingle sets overlap by 0.8 differ in about a seventh
 counts tells such pairs from others. similar() finds them with fingerprints of WIDE words of 64 bits: texts that agree in one
 of BANDS short bands meet in a cell, and the distance over all bits estimates the angle, so the similarity. A band is
 longer where there are more fingerprints, so that cells stay small. Links of SURE bits or fewer stand; the others that join
-what these leave apart are verified on the texts' shingle sets.
+what these leave apart are verified on the texts' shingle sets: first a spanning forest of them, then, among the fingerprints that
+a rejected one had joined, every pair of a cell whose ends are still apart.
 """
 
 from __future__ import annotations
@@ -76,19 +77,29 @@ SURE = 40
 BROADCAST_IDS = 2_000_000
 
 
-def wide_fingerprint(text: str | None, shingle_words: int = 5) -> np.ndarray:
-    """WIDE words over the set of shingles, so that the angle follows the sets' overlap; zeros for a text without words."""
+def shingles(text: str | None, shingle_words: int = 5) -> np.ndarray:
+    """Hashes of the set of shingles, sorted; none for a text without words."""
     words = (text or "").encode().lower().split()
     n = len(words)
     if not n:
-        return np.zeros(WIDE, np.uint64)
+        return np.zeros(0, np.uint64)
     whole = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     last = min(n, shingle_words) - 1
     starts = np.concatenate(([0], ends[: n - last - 1] + 1)).tolist()
     one = xxhash.xxh64_intdigest
-    h = np.unique(np.array([one(whole[a:b], SEED) for a, b in zip(starts, ends[last:].tolist(), strict=True)], np.uint64))
-    out = np.empty(WIDE, np.uint64)
+    return np.unique(np.array([one(whole[a:b], SEED) for a, b in zip(starts, ends[last:].tolist(), strict=True)], np.uint64))
+
+
+def wide_fingerprint(text: str | None, shingle_words: int = 5) -> np.ndarray:
+    """WIDE words over the set of shingles, so that the angle follows the sets' overlap; zeros for a text without words."""
+    return _wide(shingles(text, shingle_words))
+
+
+def _wide(h: np.ndarray) -> np.ndarray:
+    out = np.zeros(WIDE, np.uint64)
+    if not len(h):
+        return out
     for k in range(WIDE):
         ones = np.zeros(64, np.int64)
         for at in range(0, len(h), 1 << 16):
@@ -114,10 +125,12 @@ def similar(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) ->
     names = [f"f{k}" for k in range(WIDE)]
 
     def prints(b: pa.RecordBatch) -> dict:
-        x = np.stack([wide_fingerprint(t, shingle_words) for t in b.column(1).to_pylist()]).view(np.int64)
+        sets = [shingles(t, shingle_words) for t in b.column(1).to_pylist()]
+        x = np.stack([_wide(h) for h in sets]).view(np.int64)
         return {"doc_id": b.column(0), **{n: x[:, k] for k, n in enumerate(names)}}
 
-    made = common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), prints, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
+    words = ", ".join(f"{n} bigint" for n in names)
+    made = common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), prints, f"doc_id bigint, {words}")
     made = common.written(made, "wide")
     distinct = common.written(made.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("rep")), "distinct")
     bits = max(BAND_BITS, int(distinct.count()).bit_length() - 12)
@@ -125,23 +138,43 @@ def similar(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) ->
     bands = BANDS if bits == BAND_BITS else int(np.ceil(BANDS * 0.8485 ** (BAND_BITS - bits)))
 
     def spread(b: pa.RecordBatch) -> dict:
-        x = np.stack([b.column(k).to_numpy() for k in range(WIDE)], axis=1)
+        x = np.stack([b.column(n).to_numpy() for n in names], axis=1)
         bit = np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
         g = np.random.default_rng(17)
         order = np.concatenate([g.permutation(64 * WIDE) for _ in range(-(-bands * bits // (64 * WIDE)))])[: bands * bits].reshape(bands, bits)
         cell = np.concatenate([bit[:, o] @ (1 << np.arange(bits)) + (k << 40) for k, o in enumerate(order)])
         rows = np.tile(np.arange(len(x)), bands)
-        return {"cell": cell, "rep": b.column(WIDE).to_numpy()[rows], **{n: x[rows, k] for k, n in enumerate(names)}}
+        return {"cell": cell} | {n: b.column(n).to_numpy()[rows] for n in b.schema.names}
 
-    put = common.arrow_map(distinct.select(*names, "rep"), spread, "cell bigint, rep bigint, " + ", ".join(f"{n} bigint" for n in names))
+    put = common.arrow_map(distinct.select("rep", *names), spread, f"cell bigint, rep bigint, {words}")
     scan = _scan(lambda fp, a, b: _wide_distance(fp, a, b, most), range(2, 2 + WIDE), SURE)
     edges = put.repartition("cell").sortWithinPartitions("cell").mapInArrow(scan, "a bigint, b bigint, d bigint")
     edges = common.written(edges.selectExpr("least(a, b) a", "greatest(a, b) b", "d").distinct(), "links")
     sure = edges.where(F.col("d") <= SURE).select("a", "b")
     part = common.written(common.components(sure), "parts")
     maybe = edges.where(F.col("d") > SURE).join(part.toDF("a", "ca"), "a", "left").join(part.toDF("b", "cb"), "b", "left")
-    maybe = common.written(maybe.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "unsure")
-    joined = common.components(sure.unionByName(_verified(maybe, docs, shingle_words, similarity)))
+    maybe = common.written(maybe.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb"), "unsure")
+    right = common.written(_verified(maybe.select("a", "b"), docs, shingle_words, similarity), "verified")
+    joined = common.written(common.components(sure.unionByName(right)), "joined")
+
+    # the forest left out pairs whose ends a rejected link had joined: all of these parts' pairs that are still apart
+    wrong = common.written(maybe.join(right, ["a", "b"], "left_anti"), "rejected")
+    near = common.written(common.components(maybe.selectExpr("ca a", "cb b")), "near")
+    torn = near.join(near.join(wrong.selectExpr("ca node").distinct(), "node", "left_semi").select("comp").distinct(), "comp", "left_semi").select("node")
+    named = lambda df: df.join(joined.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    again = distinct.join(part.toDF("rep", "part"), "rep", "left").join(torn, F.coalesce("part", "rep") == F.col("node"), "left_semi")
+    again = common.written(named(again.select("rep", *names)).select("rep", "comp", *names), "torn")
+    put = common.arrow_map(again, spread, f"cell bigint, rep bigint, comp bigint, {words}")
+
+    def close(got: list[np.ndarray], at: int, others: np.ndarray) -> np.ndarray:
+        d = sum(np.bitwise_count(w[others] ^ w[at]).astype(np.int64) for w in got[3:])
+        return d <= most
+
+    pairs = put.repartition("cell").sortWithinPartitions("cell").mapInArrow(_across(close), _PAIR)
+    pairs = common.written(pairs.distinct().join(wrong.select("a", "b"), ["a", "b"], "left_anti"), "apart")
+    more = pairs.join(_verified(pairs.select("a", "b"), docs, shingle_words, similarity), ["a", "b"], "left_semi")
+    last = common.components(more.selectExpr("ca a", "cb b"))
+    joined = joined.join(last.toDF("comp", "first"), "comp", "left").select("node", F.coalesce("first", "comp").alias("comp")).unionByName(last.join(joined, "node", "left_anti"))
     known = common.written(distinct.join(joined, distinct.rep == joined.node, "left").select(*names, F.coalesce("comp", "rep").alias("comp")), "known")
     return made.join(known, names, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("comp")).alias("component_id"))
 
@@ -181,6 +214,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle_words: int, similarity:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+_PAIR = "a bigint, b bigint, ca bigint, cb bigint"
+
+
 #: From so many distinct fingerprints on, segments have one bit: a half's cells then are 3e-7 of all pairs instead of 7e-5.
 NARROW_FROM = 20_000_000
 
@@ -309,6 +345,53 @@ def _scan(near, prints: range, sure: int | None = None):
         if found[0]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b", "d"])
 
+    return _whole_cells(edge)
+
+
+def _across(close):
+    """Reads sorted rows (cell, rep, component, ...); gives out every pair of a cell's members in different components that close(columns, place, places) takes.
+
+    A cell's largest component comes last, so that no step is spent within one.
+    """
+
+    def batch(found: list) -> pa.RecordBatch:
+        a, b, ca, cb = (np.concatenate(x) for x in zip(*found, strict=True))
+        turn = a > b
+        out = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, cb, ca), np.where(turn, ca, cb)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b", "ca", "cb"])
+
+    def pairs(got: list[np.ndarray]):
+        key, rep, comp = got[:3]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
+        got, found, held = [x.view(np.uint64) for x in got], [], 0
+        for s, e in zip(start[mixed].tolist(), np.r_[start[1:], len(key)][mixed].tolist(), strict=True):
+            _, inv, size = np.unique(comp[s:e], return_inverse=True, return_counts=True)
+            order = np.lexsort((inv, size[inv]))
+            inv = inv[order]
+            last = np.flatnonzero(np.r_[inv[1:] != inv[:-1], True])
+            ends = last[np.searchsorted(last, np.arange(e - s))] + 1
+            order += s
+            for i in range(e - s):
+                others = order[ends[i] :]
+                if not len(others):
+                    break
+                others = others[close(got, order[i], others)]
+                if len(others):
+                    found.append((np.full(len(others), rep[order[i]]), rep[others], np.full(len(others), comp[order[i]]), comp[others]))
+                    held += len(others)
+                if held > 1 << 16:
+                    yield batch(found)
+                    found, held = [], 0
+        if found:
+            yield batch(found)
+
+    return _whole_cells(pairs)
+
+
+def _whole_cells(edge):
+    """mapInArrow function that calls edge(columns) with whole cells of sorted rows."""
+
     def scan(batches):
         held: list = []
         for b in batches:

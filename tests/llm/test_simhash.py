@@ -134,3 +134,38 @@ def test_unsure_links_are_verified(spark):
 
 def test_jaccard():
     assert S.jaccard("a b c", "A  b c", 5) == 1 and S.jaccard(None, "", 5) == 1 and S.jaccard("a b c d e f", "a b c d e g", 5) == 1 / 3
+
+
+def test_rejected_links_hide_no_pair(spark):
+    g = random.Random(11)
+    word = lambda: "".join(g.choices("abcdefghij", k=4))
+    rows, n = [], 0
+    while n < 8:  # a-b and b-c at 0.77 are shorter than a-c at 0.81
+        a = [word() for _ in range(200)]
+        b, c = list(a), list(a)
+        for at in (20, 60):
+            b[at] = c[at] = word()
+        for at in (100, 140):
+            c[at] = word()
+        for at in (40, 80, 120):
+            b[at] = word()
+        a, b, c = (" ".join(x) for x in (a, b, c))
+        fa, fb, fc = (S.wide_fingerprint(x) for x in (a, b, c))
+        bits = lambda x, y: int(np.bitwise_count(x ^ y).sum())
+        if S.SURE < min(bits(fa, fb), bits(fb, fc)) and max(bits(fa, fb), bits(fb, fc)) < bits(fa, fc) <= 66:
+            assert S.jaccard(a, c, 5) >= 0.8 > max(S.jaccard(a, b, 5), S.jaccard(b, c, 5))
+            rows += [(3 * n, a), (3 * n + 1, b), (3 * n + 2, c)]
+            n += 1
+    got = {r.doc_id: r.component_id for r in S.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {3 * i + k: 3 * i + (k == 1) for i in range(8) for k in range(3)}
+
+
+def test_across_gives_every_pair_of_components_once_a_cell():
+    import pyarrow as pa
+
+    g = np.random.default_rng(2)
+    key, comp = np.sort(g.integers(0, 6, 90)), g.integers(0, 4, 90)
+    comp[key == 5] = 7
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[k : k + 20]) for x in (key, np.arange(90), comp)], names=["cell", "rep", "comp"]) for k in range(0, 90, 20)]
+    got = [tuple(r.values()) for b in S._across(lambda got, at, others: (got[1][others] + got[1][at]) % np.uint64(3) > 0)(batches) for r in b.to_pylist()]
+    assert sorted(got) == [(a, b, comp[a], comp[b]) for a in range(90) for b in range(a + 1, 90) if key[a] == key[b] and comp[a] != comp[b] and (a + b) % 3]
