@@ -20,7 +20,8 @@ counts tells such pairs from others. similar() finds them with fingerprints of W
 of BANDS short bands meet in a cell, and the distance over all bits estimates the angle, so the similarity. A band is
 longer where there are more fingerprints, so that cells stay small. Links of SURE bits or fewer stand; the others that join
 what these leave apart are verified on the texts' shingle sets: first a spanning forest of them, then, among the fingerprints that
-a rejected one had joined, every pair of a cell whose ends are still apart.
+a rejected one had joined, every pair of a cell whose ends are still apart. Distances say little of texts of
+few shingles; these meet on shared shingles, the rare ones first, and none of their pairs is passed over.
 """
 
 from __future__ import annotations
@@ -77,6 +78,10 @@ SURE = 40
 BROADCAST_IDS = 2_000_000
 
 
+#: Texts of so few distinct shingles and all that may be similar to them are joined on their shingles.
+FEW = 20
+
+
 def shingles(text: str | None, shingle_words: int = 5) -> np.ndarray:
     """Hashes of the set of shingles, sorted; none for a text without words."""
     words = (text or "").encode().lower().split()
@@ -109,7 +114,7 @@ def _wide(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def most_bits(similarity: float, sigmas: float = 1.25) -> int:
+def most_bits(similarity: float, sigmas: float = 4) -> int:
     """Differing bits of a wide fingerprint up to which texts count as similar: those expected at this Jaccard similarity, and some standard deviations."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     n = 64 * WIDE
@@ -124,15 +129,17 @@ def similar(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) ->
     spark = common.ready(docs.sparkSession)
     names = [f"f{k}" for k in range(WIDE)]
 
+    few = int(FEW / similarity)
+
     def prints(b: pa.RecordBatch) -> dict:
         sets = [shingles(t, shingle_words) for t in b.column(1).to_pylist()]
         x = np.stack([_wide(h) for h in sets]).view(np.int64)
-        return {"doc_id": b.column(0), **{n: x[:, k] for k, n in enumerate(names)}}
+        return {"doc_id": b.column(0), "few": [0 < len(h) <= few for h in sets], **{n: x[:, k] for k, n in enumerate(names)}}
 
     words = ", ".join(f"{n} bigint" for n in names)
-    made = common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), prints, f"doc_id bigint, {words}")
+    made = common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), prints, f"doc_id bigint, few boolean, {words}")
     made = common.written(made, "wide")
-    distinct = common.written(made.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("rep")), "distinct")
+    distinct = common.written(made.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("rep"), F.max("few").alias("few")), "distinct")
     bits = max(BAND_BITS, int(distinct.count()).bit_length() - 12)
     most = most_bits(similarity)
     bands = BANDS if bits == BAND_BITS else int(np.ceil(BANDS * 0.8485 ** (BAND_BITS - bits)))
@@ -171,6 +178,7 @@ def similar(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) ->
         return d <= most
 
     pairs = put.repartition("cell").sortWithinPartitions("cell").mapInArrow(_across(close), _PAIR)
+    pairs = pairs.unionByName(_few_pairs(docs, named(distinct.where("few").select("rep")), shingle_words, similarity, few))
     pairs = common.written(pairs.distinct().join(wrong.select("a", "b"), ["a", "b"], "left_anti"), "apart")
     more = pairs.join(_verified(pairs.select("a", "b"), docs, shingle_words, similarity), ["a", "b"], "left_semi")
     last = common.components(more.selectExpr("ca a", "cb b"))
@@ -217,6 +225,33 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle_words: int, similarity:
 _PAIR = "a bigint, b bigint, ca bigint, cb bigint"
 
 
+def _few_pairs(docs: DataFrame, reps: DataFrame, shingle_words: int, similarity: float, few: int) -> DataFrame:
+    """Of the rows (rep, comp), texts of `few` shingles at most: all pairs (a, b, ca, cb) of different components that may be that similar.
+
+    Two such sets share a shingle among the first n - similarity * n + 1 of their n in any order that holds for all sets; the rare ones come first.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+
+    def grams(b: pa.RecordBatch) -> dict:
+        sets = [h if len(h) <= few else h[:0] for h in (shingles(t, shingle_words) for t in b.column(2).to_pylist())]
+        rows = np.repeat(np.arange(len(sets)), [len(h) for h in sets])
+        return {"rep": b.column(0).to_numpy()[rows], "comp": b.column(1).to_numpy()[rows], "gram": np.concatenate(sets).view(np.int64)}
+
+    each = common.written(common.arrow_map(reps.join(texts, "rep").select("rep", "comp", "text"), grams, "rep bigint, comp bigint, gram bigint").distinct(), "grams")
+    times = common.written(each.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"), "times")
+    sets = each.join(times, "gram", "left").groupBy("rep", "comp").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "gram"))).alias("x"))
+    n = F.size("x")
+    sets = sets.select("rep", "comp", n.cast("long").alias("n"), F.posexplode(F.slice("x", F.lit(1), n - F.ceil(similarity * n - 1e-9).cast("int") + 1)).alias("place", "x"))
+    put = sets.where("x.times > 1").select(F.col("x.gram").alias("gram"), "rep", "comp", "n", F.col("place").cast("long").alias("place"))
+
+    def close(got: list[np.ndarray], at: int, others: np.ndarray) -> np.ndarray:
+        n, place = got[3].view(np.int64), got[4].view(np.int64)
+        both = np.minimum(n[at] - place[at], n[others] - place[others]) + np.minimum(place[at], place[others])  # at most so many are shared
+        return both * (1 + similarity) >= similarity * (n[at] + n[others]) - 1e-9
+
+    return put.repartition("gram").sortWithinPartitions("gram").mapInArrow(_across(close), _PAIR)
+
+
 #: From so many distinct fingerprints on, segments have one bit: a half's cells then are 3e-7 of all pairs instead of 7e-5.
 NARROW_FROM = 20_000_000
 

@@ -169,3 +169,30 @@ def test_across_gives_every_pair_of_components_once_a_cell():
     batches = [pa.RecordBatch.from_arrays([pa.array(x[k : k + 20]) for x in (key, np.arange(90), comp)], names=["cell", "rep", "comp"]) for k in range(0, 90, 20)]
     got = [tuple(r.values()) for b in S._across(lambda got, at, others: (got[1][others] + got[1][at]) % np.uint64(3) > 0)(batches) for r in b.to_pylist()]
     assert sorted(got) == [(a, b, comp[a], comp[b]) for a in range(90) for b in range(a + 1, 90) if key[a] == key[b] and comp[a] != comp[b] and (a + b) % 3]
+
+
+def test_short_texts_are_joined_on_their_shingles(spark):
+    g = random.Random(12)
+    word = lambda: "".join(g.choices("abcdefghij", k=4))
+    texts = []
+    for i in range(120):
+        b = [word() for _ in range((8, 8, 13, 20)[i % 4])]
+        texts += [" ".join(b), " ".join(b + [word() for _ in range((1, 2, 2, 4)[i % 4])])]
+    texts += [" ".join(["one phrase for all of them", word(), word(), word()]) for _ in range(60)]
+    got = {r.doc_id: r.component_id for r in S.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = [2 * (i // 2) if i < 240 and S.jaccard(texts[i - i % 2], texts[i - i % 2 + 1], 5) >= 0.8 else i for i in range(len(texts))]
+    assert [got[i] for i in range(len(texts))] == want and 60 < sum(w != i for i, w in enumerate(want)) < 120
+
+
+def test_few_pairs_at_the_border_are_passed_over():
+    g = random.Random(13)
+    word = lambda: "".join(g.choices("abcdefghij", k=4))
+    bits = []
+    while len(bits) < 300:
+        b = [word() for _ in range(g.randint(30, 400))]
+        c = list(b)
+        for at in g.sample(range(len(b)), len(b) // 46 or 1):
+            c[at] = word()
+        if 0.8 <= S.jaccard(" ".join(b), " ".join(c), 5) < 0.85:
+            bits.append(int(np.bitwise_count(S.wide_fingerprint(" ".join(b)) ^ S.wide_fingerprint(" ".join(c))).sum()))
+    assert max(bits) <= S.most_bits(0.8)
