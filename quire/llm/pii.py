@@ -27,6 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Columns that find() adds.
 ADDED = (*(f"n_{k}" for k in KINDS), "base_spans", "spans", "masked")
 LONGEST, SURE = 6, 0.9
+#: A stretch is decoded in pieces of so many tokens, with so many more to each side.
+PIECE, BESIDE = 400, 4 * LONGEST
 
 # Fixed patterns of the base spans. A start inside a run of digits can match only what the run's start does, so it is passed over.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -236,9 +238,10 @@ class Field:
         for row in stretches(text):
             if taken and all(any(a < y and x < b for x, _, y in taken) for a, b in row if _CUE.search(text, a, b)):
                 continue  # every cue lies in a base span
-            for at in range(0, len(row), 400):  # bounded pieces of an endless stretch
-                segs = self.segments(text, row[at : at + 400])
-                new = [x for x in self.best(segs) if not any(x[0] < b and a < x[2] for a, _, b in taken)]
+            for at in range(0, len(row), PIECE):  # bounded pieces of an endless stretch; a span belongs to the piece that its last token is in
+                first = max(0, at - BESIDE)
+                segs = self.segments(text, row[first : at + PIECE + BESIDE])
+                new = [x for x in self.best(segs) if at <= first + x[3] < at + PIECE and not any(x[0] < b and a < x[2] for a, _, b in taken) and not (out and x[0] < out[-1][2])]
                 if new:
                     sure = {(s[1], k, s[2]): p for _, k, p, s, _ in self.marginals(segs) if s is not None}
                     out += [x[:3] for x in new if sure.get(x[:3], 0.0) >= SURE]

@@ -153,6 +153,14 @@ def test_the_field_learns_and_decodes_jointly():
     assert {pii.KINDS[k] for _, k, _ in f.find(text, [])} >= {"email", "phone"}
 
 
+@pytest.mark.parametrize("n", range(397, 402))
+def test_entities_across_pieces_of_a_stretch(n):
+    f, s = pii.trained(), "ann (at) host.example.com"
+    text = "7 " * n + s + " 7" * 450 + " " + s
+    assert len(pii.stretches(text)) == 1
+    assert f.find(text, []) == [(2 * n, 0, 2 * n + len(s)), (len(text) - len(s), 0, len(text))]
+
+
 def test_marginals_add_up():
     f = pii.trained()
     text = "mail ann@host.example.com from 192.0.2.1 now"
