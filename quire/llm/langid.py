@@ -3,8 +3,8 @@
 n-grams of one to ORDERS characters of the lower-cased text are hashed to BUCKETS; a feature is
 the n-gram's share of the text's n-grams times its inverse document frequency. Document frequencies are counted over all
 documents that may be learned from. The weights are trained by follow-the-regularised-leader with an elastic net, on a
-sample of at most SAMPLE_PER_LANG labelled documents a language (chosen by a hash of the id; a documented bound),
-and a part of it that isn't trained on sets the temperature of the probabilities.
+sample of about SAMPLE_PER_LANG labelled documents a language (chosen by a hash of the id; a documented bound, the only one
+whatever the number of languages, of which those with fewer documents give all), and a part of it that isn't trained on sets the temperature of the probabilities.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quire.llm import common
 
 BUCKETS, ORDERS = 1 << 16, 3
-SAMPLE_PER_LANG, SAMPLE_MOST = 600, 6_000
+SAMPLE_PER_LANG = 600
 #: Characters of a text that are turned into n-grams at a time.
 CHUNK = 1 << 20
 UND = "und"
@@ -162,7 +162,9 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
         return {"place": b.column(0), "lang": b.column(1), "at": at, "n": n}
 
     rows = common.arrow_map(chosen.select("place", "lang", "text"), features, "place bigint, lang string, at array<int>, n array<int>")
-    rows = rows.orderBy("place").limit(SAMPLE_MOST).toArrow()
+    # only ids that many rows share make the samples much larger; languages that give all go first
+    few = F.col("lang").isin([k for k, n in counts.items() if n <= per_lang])
+    rows = rows.orderBy(~few, "place").limit(2 * per_lang * len(langs)).toArrow().sort_by("place")
     examples, kept = [], []
     for place, lang, at, n in zip(*(rows.column(c) for c in ("place", "lang", "at", "n")), strict=True):
         at, n = at.values.to_numpy(), n.values.to_numpy()

@@ -39,6 +39,15 @@ def test_no_language_to_learn(spark):
     assert langid.predict(df.limit(0), langid.train(df.limit(0))).count() == 0
 
 
+def test_every_language_gives_its_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "ftrl", lambda examples, n: seen.extend(e[2] for e in examples) or np.zeros((langid.BUCKETS + 1, n)))
+    monkeypatch.setattr(langid, "temperature", lambda z, y: seen.extend(y.tolist()) or 1.0)
+    rows = [(i, "abc", f"l{i % 11:02}") for i in range(6600)] + [(7000 + i, "xyz", "rare") for i in range(3)]
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert np.bincount(seen).tolist() == [600] * 11 + [3]
+
+
 def test_ngrams_in_pieces(monkeypatch):
     text = words("bb", 400)
     whole = np.sort(np.concatenate(list(langid.ngrams(text))))
