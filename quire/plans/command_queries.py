@@ -63,12 +63,19 @@ def command_lookup_top1(spark, sf):
 
 
 def part_lookup_top1(spark, sf):
-    """Every part's name looked up in an index of distinct names: equi-joins on prefixes."""
+    """Every part's name looked up in an index of the first 59 parts, as its SQL has it; part_lookup_whole has all names."""
     p = table(spark, sf, "part")
     index = p.where("p_partkey < 60").select(F.col("p_partkey").alias("ord"), F.lower("p_name").alias("command"), F.concat(F.lit("p"), "p_partkey").alias("source"))
     return I.lookup(p.select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("text")), index).select("id", "source")
 
 
+def part_lookup_whole(spark, sf):
+    """Every part's name looked up in an index of all distinct names: equi-joins on prefixes."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("text"))
+    index = p.groupBy(F.col("text").alias("command")).agg(F.min("id").alias("ord")).select("ord", "command", F.concat(F.lit("p"), "ord").alias("source"))
+    return I.lookup(p, index).select("id", "source")
+
+
 _LOOKUP = """with w as (select *, {kw} k from ({texts})), h as (select *, {kh} k from ({index})),
 m as (select w.id, h.command, h.source, h.ord, least(len(w.k), len(h.k)) n from w, h
   where len(w.k) > 0 and len(h.k) > 0 and list_slice(w.k, 1, least(len(w.k), len(h.k))) = list_slice(h.k, 1, least(len(w.k), len(h.k))) and (len(w.k) = len(h.k) or least(len(w.k), len(h.k)) >= 2)),
@@ -308,7 +315,7 @@ def web_snippets(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (commands_of, family_counts, family_setdiff, command_lookup_top1, part_lookup_top1, expand_alternatives, difference_rows, command_index_rows, section_index_rows, index_lookup_slice, name_mapping, diagnostic_status, show_command_gate, config_lines, backup_names, transcript_status, target_resolution, auth_sources, device_lines, jump_routes, hop_parts, ssh_effective, mask_url_tokens, retry_plan, fetch_decisions, cache_completeness, figure_marks, figure_names, scan_numbering, scan_counts, manifest_defaults, page_titles, web_snippets)
+    for f in (commands_of, family_counts, family_setdiff, command_lookup_top1, part_lookup_top1, part_lookup_whole, expand_alternatives, difference_rows, command_index_rows, section_index_rows, index_lookup_slice, name_mapping, diagnostic_status, show_command_gate, config_lines, backup_names, transcript_status, target_resolution, auth_sources, device_lines, jump_routes, hop_parts, ssh_effective, mask_url_tokens, retry_plan, fetch_decisions, cache_completeness, figure_marks, figure_names, scan_numbering, scan_counts, manifest_defaults, page_titles, web_snippets)
 }
 
 _ERR_CONFIG = f"case when op = 'config' then (case when {_ERROR} then 'failed' else 'ok' end) else {_STATUS} end"

@@ -8,6 +8,25 @@ from quire.operators import index as I
 from quire.plans import command_queries as Q
 
 
+def test_whole_part_index(spark, tmp_path):
+    names = ["red green blue", "red green", "Red green", "red", "blue red green tan"] + [f"hot name {i}" for i in range(200)] + ["hot name"]
+    spark.createDataFrame(list(enumerate(names, 1)), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.id: r.source for r in Q.part_lookup_whole(spark, str(tmp_path)).collect()}
+    low = [n.lower() for n in names]
+    want = {}
+    df = spark.createDataFrame([(n,) for n in sorted(set(low))], "n string")
+    words = {r.n: r.k for r in df.select("n", C.keywords(F.col("n")).alias("k")).collect()}
+    for i, n in enumerate(low, 1):
+        w, best = words[n], None
+        for h in set(low):
+            k, o = words[h], low.index(h) + 1
+            m = min(len(w), len(k))
+            if m and w[:m] == k[:m] and (m >= 2 or len(w) == len(k)):
+                best = min(best or (-m, o), (-m, o))
+        want[i] = f"p{best[1]}" if best else None
+    assert got == want
+
+
 def test_prefix_lookup_equals_its_definition(spark):
     import random
 
