@@ -132,7 +132,7 @@ def section_index_rows(spark, sf):
 
 
 def index_lookup_slice(spark, sf):
-    """Bodies of the documents whose section title holds a word, from the section's line on."""
+    """Bodies of the documents whose section title holds a word, from the section's line on; every fourth line is a section, as its SQL has it. index_lookup_whole takes all."""
     from quire.operators.lines import exploded
 
     body = exploded(table(spark, sf, "documents"), "doc_id").select(F.concat(F.lit("d"), "doc_id").alias("file"), "line_no", F.col("line").alias("body"))
@@ -140,6 +140,15 @@ def index_lookup_slice(spark, sf):
     return I.slices(index, body, "the", 3).select("file", "line", "line_no", F.sha2("body", 256).alias("digest"))
 
 
+def index_lookup_whole(spark, sf):
+    """The same with every line in the index, its whole text as title, and the operator's own length."""
+    from quire.operators.lines import exploded
+
+    body = exploded(table(spark, sf, "documents"), "doc_id").select(F.concat(F.lit("d"), "doc_id").alias("file"), "line_no", F.col("line").alias("body"))
+    index = body.select("file", F.col("line_no").alias("line"), F.col("body").alias("title"))
+    return I.slices(index, body, "the").select("file", "line", "line_no", F.sha2("body", 256).alias("digest"))
+
+
 FUNCTIONS = Relation("title string, file string", [("IKE, IPsec,  PPP", "s1.md"), ("BGP", "s2.md"), ("IPsec", "s3.md")])
 
 
@@ -315,7 +324,7 @@ def web_snippets(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (commands_of, family_counts, family_setdiff, command_lookup_top1, part_lookup_top1, part_lookup_whole, expand_alternatives, difference_rows, command_index_rows, section_index_rows, index_lookup_slice, name_mapping, diagnostic_status, show_command_gate, config_lines, backup_names, transcript_status, target_resolution, auth_sources, device_lines, jump_routes, hop_parts, ssh_effective, mask_url_tokens, retry_plan, fetch_decisions, cache_completeness, figure_marks, figure_names, scan_numbering, scan_counts, manifest_defaults, page_titles, web_snippets)
+    for f in (commands_of, family_counts, family_setdiff, command_lookup_top1, part_lookup_top1, part_lookup_whole, expand_alternatives, difference_rows, command_index_rows, section_index_rows, index_lookup_slice, index_lookup_whole, name_mapping, diagnostic_status, show_command_gate, config_lines, backup_names, transcript_status, target_resolution, auth_sources, device_lines, jump_routes, hop_parts, ssh_effective, mask_url_tokens, retry_plan, fetch_decisions, cache_completeness, figure_marks, figure_names, scan_numbering, scan_counts, manifest_defaults, page_titles, web_snippets)
 }
 
 _ERR_CONFIG = f"case when op = 'config' then (case when {_ERROR} then 'failed' else 'ok' end) else {_STATUS} end"

@@ -27,6 +27,13 @@ def test_whole_part_index(spark, tmp_path):
     assert got == want
 
 
+def test_whole_line_index(spark, tmp_path):
+    docs = [(1, "no\nthe one\n" + "x" * 60 + " the end\nno\nthe fifth"), (2, "nothing"), (3, "\n\nat the third")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.file, r.line, r.line_no) for r in Q.index_lookup_whole(spark, str(tmp_path)).collect())
+    assert got == [(f"d{d}", i, i) for d, t in docs for i, x in enumerate(t.split("\n"), 1) if "the" in x]
+
+
 def test_prefix_lookup_equals_its_definition(spark):
     import random
 
