@@ -62,18 +62,16 @@ def difference_kind(title: Column) -> Column:
     return F.coalesce(*(F.when(F.contains(title, F.lit(w)), F.lit(k)) for w, k in DIFFERENCE_KINDS))
 
 
-def open_alternatives(s: Column, rounds: int = 4) -> Column:
-    """All commands that the choices between keywords stand for, in order; `rounds` choices in one command at most."""
+def open_alternatives(s: Column) -> Column:
+    """All commands that the choices between keywords stand for, in order."""
 
     def once(c: Column) -> Column:
         whole, inner = F.regexp_extract(c, f"({ALTERNATIVES})", 1), F.regexp_extract(c, ALTERNATIVES, 1)
         at = F.instr(c, whole)
         return F.when(whole == "", F.array(c)).otherwise(F.transform(F.split(inner, r" \| "), lambda a: collapse(F.concat(F.substring(c, F.lit(1), at - 1), a, F.substring(c, at + F.length(whole), F.length(c))))))
 
-    out = F.array(s)
-    for _ in range(rounds):
-        out = F.flatten(F.transform(out, once))
-    return out
+    choices = F.length(s) - F.length(F.translate(s, "[{", ""))  # at most
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(choices, F.lit(1))), F.array(s), lambda out, _: F.flatten(F.transform(out, once)))
 
 
 def cell_lines(s: Column) -> Column:

@@ -34,6 +34,12 @@ def test_whole_line_index(spark, tmp_path):
     assert got == [(f"d{d}", i, i) for d, t in docs for i, x in enumerate(t.split("\n"), 1) if "the" in x]
 
 
+def test_any_number_of_choices(spark):
+    s = " ".join(["[ a | b ]"] * 6)
+    (got,) = spark.createDataFrame([(s,)], "s string").select(C.open_alternatives(F.col("s"))).first()
+    assert len(got) == 64 == len(set(got)) and not any("[" in x for x in got)
+
+
 def test_prefix_lookup_equals_its_definition(spark):
     import random
 
