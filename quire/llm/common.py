@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Largest object the operators broadcast to executors, in bytes. Every broadcast is checked against it.
 BROADCAST_LIMIT = 64 << 20
+#: Bytes of one id in a broadcast table, its share of empty places included.
+ID_BYTES = 64
 #: Arrow batches to Python workers hold at most so many rows and bytes.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
@@ -88,6 +90,11 @@ def bounded(payload: bytes, what: str) -> bytes:
     return payload
 
 
+def with_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of df whose doc_id is in ids (or isn't: left_anti). So few ids are broadcast as their table stays under BROADCAST_LIMIT; more are joined by a shuffle."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_LIMIT // ID_BYTES else ids, "doc_id", how)
+
+
 def arrow_map(df: DataFrame, f, schema: str) -> DataFrame:
     """mapInArrow with f(batch: RecordBatch) -> dict of columns, list of dicts' columns or None."""
     from pyspark.sql.types import _parse_datatype_string

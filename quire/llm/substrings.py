@@ -1,14 +1,18 @@
 """Substring dedup over a compacted de Bruijn graph of words.
 
-Edges are windows of `window` consecutive words. Neighbouring windows that share their least k-word sequence, the anchor,
-form a path of up to window - k + 1 edges, which is kept as one row: anchor, hash of its words, document, place. An anchor
-all of whose paths are alike doesn't branch there, and its path stands for all its edges. Where the paths of an anchor
-differ it branches, and the edges of one copy of each differing path are compared by themselves.
+Edges are windows of `window` consecutive words, nodes the sequences of window - 1 words between neighbouring ones.
+Neighbouring windows that share their least k-word sequence, the anchor, are dealt as one row, as the published builders of
+such graphs do it: anchor, hash of the words, document, place. Equal windows have equal anchors. So an
+anchor all of whose rows are alike is a path without branches, at most window - k + 1 edges long; where they
+differ the graph branches, and the edges of one copy of each differing row are compared by themselves.
 
 1. One pass writes each document's paths. An aggregation finds the anchors of several documents; a join keeps their paths.
-2. Of equal paths the one in the smallest document is the source. A pass over the sources' texts takes the digest of
+2. Compaction: path a goes on in path b without a branch if all occurrences of a are followed by b and all of b preceded by a. The
+   edges out of and into each path are counted by a join and an aggregation, and pointer doubling by joins
+   gives every path of such a chain the chain's head. A chain of any length is one path from then on.
+3. Of equal paths the one in the smallest document is the source. A pass over the sources' texts takes the digest of
    each path's words at its source's coordinates and, where the anchor branches, of each edge's.
-3. A copy in a larger document loses all edges of the path. The source itself loses the edges that a path
+4. A copy in a larger document loses all edges of the path. The source itself loses the edges that a path
    in a still smaller document has too. A pass over the texts concerned compares the digests of the very words
    before it takes them out, so no word goes on a hash's account alone.
 
@@ -28,8 +32,6 @@ from pyspark.sql import functions as F
 from quire.llm import common, words
 
 WINDOW = 50
-#: So many ids are broadcast to pick out texts; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 
 _MASK = (1 << 64) - 1
 _BASES = (0xD1342543DE82EF95, 0xF1357AEA2E62A9C5)
@@ -87,9 +89,26 @@ def digest(some: list[bytes]) -> bytes:
     return blake2b(b" ".join(some), digest_size=16).digest()
 
 
-def _ids(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of df whose doc_id is in ids; a few ids are broadcast, more are joined."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+def compacted(found: DataFrame) -> DataFrame:
+    """The occurrences (doc_id, th, first, anchor, whole, edges, branches) of paths with chains of them compacted: of a chain only the head's occurrences are left, with all its edges.
+
+    Occurrences are distinct. Rounds of pointer doubling: as many as the longest chain's length has binary digits.
+    """
+    plain = found.where("not branches")
+    ahead = plain.select("doc_id", "th", (F.col("first") + F.col("edges")).alias("first"), F.col("anchor").alias("a"))
+    step = ahead.join(plain.select("doc_id", "th", "first", F.col("anchor").alias("b")), ["doc_id", "th", "first"]).groupBy("a", "b").agg(F.count("*").alias("n"))
+    nodes = common.written(plain.groupBy("anchor").agg(F.count("*").alias("n"), F.max("edges").cast("long").alias("own")), "nodes")
+    # as many steps as occurrences of either end: no other edge leaves a or enters b
+    step = step.join(nodes.select(F.col("anchor").alias("a"), "n"), ["a", "n"]).join(nodes.select(F.col("anchor").alias("b"), "n", "own"), ["b", "n"])
+    links = common.written(step.select(F.col("b").alias("node"), F.col("a").alias("head"), "own", F.lit(False).alias("done")), "links")
+    while not links.where("not done").isEmpty():
+        jump = links.select(F.col("node").alias("head"), F.col("head").alias("next"))
+        last, links = links, common.written(links.join(jump, "head", "left").select("node", F.coalesce("next", "head").alias("head"), "own", F.col("next").isNull().alias("done")), "links")
+        common.drop_written(last)
+    role = links.groupBy("head").agg(F.sum("own").alias("more")).select(F.col("head").alias("anchor"), "more").unionByName(links.select(F.col("node").alias("anchor"), F.lit(-1).cast("long").alias("more")))
+    role = common.written(role, "roles")
+    out = found.join(role, "anchor", "left").where("more is null or more >= 0")
+    return out.select("doc_id", "th", "first", "anchor", "whole", (F.col("edges") + F.coalesce("more", F.lit(0))).cast("int").alias("edges"), "branches")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -114,7 +133,8 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     every = made.where("doc_id is not null").select("doc_id", "th", F.explode(F.arrays_zip("anchor", "whole", "first", "edges")).alias("p")).select("doc_id", "th", "p.*")
     several = every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("whole").alias("x"), F.max("whole").alias("y")).where("a < b").select("anchor", F.expr("x <> y").alias("branches"))
     several = common.written(several, "several")  # so the join shuffles both its sides, and a common anchor's rows can be split
-    occurrences = common.written(every.join(several, "anchor"), "repeated")
+    found = common.written(every.join(several, "anchor").dropDuplicates(["doc_id", "th", "first"]), "repeated")
+    occurrences = common.written(compacted(found), "compacted")
 
     key = ["anchor", "whole", "edges"]
     source = occurrences.groupBy(*key, "branches").agg(F.min(F.struct("doc_id", "th", "first")).alias("s"), F.max("doc_id").alias("last")).where("branches or last > s.doc_id")
@@ -135,7 +155,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[*key, "source", "digest", "each"])
 
-    known = _ids(docs, asked.select("doc_id")).join(asked, "doc_id").mapInArrow(read, "anchor bigint, whole bigint, edges int, source bigint, digest binary, each array<binary>")
+    known = common.with_ids(docs, asked.select("doc_id")).join(asked, "doc_id").mapInArrow(read, "anchor bigint, whole bigint, edges int, source bigint, digest binary, each array<binary>")
     known = common.written(known.dropDuplicates([*key, "source"]), "known")
 
     edge = known.where("each is not null").select(*key, "source", F.posexplode("each").alias("i", "edge"))
@@ -182,8 +202,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th"))
-    some = _ids(docs, cuts.select("doc_id")).join(cuts, "doc_id").mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept string, kept_sha256 string")
-    rest = whole.join(F.broadcast(cuts.select("doc_id")) if cuts.count() <= BROADCAST_IDS else cuts.select("doc_id"), "doc_id", "left_anti")
+    some = common.with_ids(docs, cuts.select("doc_id")).join(cuts, "doc_id").mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept string, kept_sha256 string")
+    rest = common.with_ids(whole, cuts.select("doc_id"), "left_anti")
     return some.unionByName(rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept"), "kept_sha256"))
 
 

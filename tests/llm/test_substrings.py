@@ -64,7 +64,7 @@ def test_paths_cover_all_windows():
 
 
 def test_many_ids_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(S, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(S.common, "ID_BYTES", 1 << 40)
     r = rows(5)
     got = S.deduplicated(spark.createDataFrame(r, "doc_id long, text string"), 8).drop("kept").collect()
     assert sorted(map(tuple, got), key=repr) == brute(r, 8)
@@ -72,3 +72,23 @@ def test_many_ids_are_joined(spark, monkeypatch):
 
 def test_nothing(spark):
     assert S.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_repeats_compact_to_few_paths(spark):
+    g = random.Random(9)
+    some = lambda n, a="": " ".join(a + str(g.randrange(10**6)) for _ in range(n))
+    p, q = some(10_000), some(3_000)
+    r = [(1, some(90) + " " + p), (2, some(70) + " " + p + " " + some(80)), (3, p + " " + q), (4, q + " " + q), (5, some(500))]
+    docs = spark.createDataFrame(r, "doc_id long, text string")
+    made, cuts = S.repeats(docs)
+    paths = {(c.th, c.first, c.edges) for row in cuts.collect() for c in row.cuts}
+    assert len(paths) < 80 and max(e for *_, e in paths) > 9_800
+    assert sorted(map(tuple, S.deduplicated(docs).drop("kept").collect()), key=repr) == brute(r, 50)
+
+
+def test_chains_stop_at_branches(spark):
+    row = lambda doc, *anchors: [(doc, 0, 10 * i, a, a, 10, False) for i, a in enumerate(anchors)]
+    found = row(1, 1, 2, 3, 4, 5) + row(2, 2, 3, 4, 6) + row(3, 9, 1, 2, 3, 4, 5, 6) + row(4, 7, 8) + row(5, 7, 8)
+    df = spark.createDataFrame(found, "doc_id long, th long, first int, anchor long, whole long, edges int, branches boolean")
+    got = {(r.anchor, r.edges) for r in S.compacted(df).collect()}
+    assert got == {(1, 10), (2, 30), (5, 10), (6, 10), (7, 20), (9, 10)}
