@@ -1,24 +1,28 @@
 """SimHash near-dedup: fingerprints, a grid join in segment-popcount space, components.
 
-Embedding. The 64 bits fall into 32 segments of two; a fingerprint's point holds the number of
-set bits of each, 0 to 2. A differing bit moves one coordinate by at most one, so the Manhattan
-distance of two points is a lower bound of the Hamming distance of their fingerprints.
-
-Grid range join. The 32 coordinates are cut into `halves` of 16. Fingerprints at Hamming distance
-4 or less are within Manhattan distance 2 in at least one half, and two lattice points within 2 of each
-other have a lattice point within 1 of both. So each distinct fingerprint is put into its own cell and
-the cells beside it, in each half: at most 66 rows, however many others there are, and every pair to
-be found shares a cell. (Where there are very many fingerprints the segments have one bit, 64 coordinates of 0 and 1.) Cells are dealt by hash and sorted; a cell's members are read as one run.
+Embedding. The 64 bits lie on two rings of 32; segments are the 32 pairs of neighbours on each ring, and a fingerprint's point
+holds the number of set bits of each segment, 0 to 2. A differing bit lies in two segments and moves each by one, so half the
+Manhattan distance of two points is a lower bound of the Hamming distance of their fingerprints.
+
+Grid range join. Each ring is a half of the coordinates. Fingerprints at Hamming distance 4 or less differ in at most two bits
+of one half, and then some point is one bit from both. So each distinct fingerprint is put into its own cell and
+the 32 cells one bit away, in each half: 66 rows, however many others there are, and every pair to
+be found shares a cell. A cell holds what agrees in a half but for two bits, about 3e-7 of all
+pairs. Cells are dealt by hash and sorted; a cell's members are read as one run.
 In a run a pair is verified first by the bound, then by the exact distance. Runs give out a
 spanning forest of their links and never all pairs, so large groups of near copies stay linear.
 
-Fingerprints and not documents are joined: copies count once. A cell in memory takes 8 bytes a
+Large cells. A run over DENSE members is searched breadth first: what a link reaches leaves the search. What BUDGET comparisons
+leave undone (members not linked to each other, in a crowded cell) goes to a second round, dealt anew by finer cells over many tasks.
+
+Fingerprints and not documents are joined: copies count once. A cell in memory takes 16 bytes a
 distinct fingerprint.
 
 Similar texts. Texts whose shingle sets overlap by 0.8 differ in about a seventh of their bits, ten of 64; no grid of segment
 counts tells such pairs from others. similar() finds them with fingerprints of WIDE words of 64 bits: texts that agree in one
-of BANDS short bands meet in a cell, and the distance over all bits estimates the angle, so the similarity. A band is
-longer where there are more fingerprints, so that cells stay small. Links of SURE bits or fewer stand; the others that join
+band of bits meet in a cell, and the distance over all bits estimates the angle, so the similarity. One rule holds
+at every size: bands of log2 of the number of fingerprints less 12 bits, BAND_BITS at least, so that cells stay small, and so many bands
+that of a hundred pairs at a similarity of 0.8 one meets in none. Links of SURE bits or fewer stand; the others that join
 what these leave apart are verified on the texts' shingle sets: first a spanning forest of them, then, among the fingerprints that
 a rejected one had joined, every pair of a cell whose ends are still apart. Distances say little of texts of
 few shingles; these meet on shared shingles, the rare ones first, and none of their pairs is passed over.
@@ -38,6 +42,8 @@ from quire.llm.words import mix
 SEED = 42
 #: Runs of more members are searched breadth first, so that linked members leave the search at once.
 DENSE = 256
+#: Comparisons in one run; what they leave undone is dealt anew.
+BUDGET = 1 << 26
 
 
 def fingerprint(text: str | None, shingle_words: int = 4) -> int:
@@ -70,13 +76,12 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id"
     return common.arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id bigint, fp bigint")
 
 
-#: 64-bit words of a wide fingerprint; bits of a band and bands. At a similarity of 0.8 one pair in a hundred meets in no band.
-WIDE, BAND_BITS, BANDS = 6, 12, 32
+#: 64-bit words of a wide fingerprint; fewest bits of a band; share of pairs at the similarity that may meet in no band.
+WIDE, BAND_BITS, MISSED = 6, 12, 0.0085
+#: A crowded band's cell is dealt by so many further bands of so many bits; one pair in a thousand of the cell then meets in none.
+SUB_BITS, SUB_BANDS = 10, 32
 #: Wide fingerprints of so few differing bits are links without a look at the texts: 0.88 is expected there, 0.8 is 2.6 deviations away.
 SURE = 40
-#: So many ids are broadcast to pick out texts; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
-
 
 #: Texts of so few distinct shingles and all that may be similar to them are joined on their shingles.
 FEW = 20
@@ -126,37 +131,23 @@ def similar(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) ->
 
     A row with a null id links nothing and has a null component; texts without words are alike.
     """
-    spark = common.ready(docs.sparkSession)
-    names = [f"f{k}" for k in range(WIDE)]
-
+    common.ready(docs.sparkSession)
     few = int(FEW / similarity)
 
     def prints(b: pa.RecordBatch) -> dict:
         sets = [shingles(t, shingle_words) for t in b.column(1).to_pylist()]
         x = np.stack([_wide(h) for h in sets]).view(np.int64)
-        return {"doc_id": b.column(0), "few": [0 < len(h) <= few for h in sets], **{n: x[:, k] for k, n in enumerate(names)}}
+        return {"doc_id": b.column(0), "few": [0 < len(h) <= few for h in sets], **{n: x[:, k] for k, n in enumerate(_NAMES)}}
 
+    names = list(_NAMES)
     words = ", ".join(f"{n} bigint" for n in names)
     made = common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), prints, f"doc_id bigint, few boolean, {words}")
     made = common.written(made, "wide")
     distinct = common.written(made.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("rep"), F.max("few").alias("few")), "distinct")
-    bits = max(BAND_BITS, int(distinct.count()).bit_length() - 12)
+    bits = band_bits(distinct.count())
     most = most_bits(similarity)
-    bands = BANDS if bits == BAND_BITS else int(np.ceil(BANDS * 0.8485 ** (BAND_BITS - bits)))
-
-    def spread(b: pa.RecordBatch) -> dict:
-        x = np.stack([b.column(n).to_numpy() for n in names], axis=1)
-        bit = np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-        g = np.random.default_rng(17)
-        order = np.concatenate([g.permutation(64 * WIDE) for _ in range(-(-bands * bits // (64 * WIDE)))])[: bands * bits].reshape(bands, bits)
-        cell = np.concatenate([bit[:, o] @ (1 << np.arange(bits)) + (k << 40) for k, o in enumerate(order)])
-        rows = np.tile(np.arange(len(x)), bands)
-        return {"cell": cell} | {n: b.column(n).to_numpy()[rows] for n in b.schema.names}
-
-    put = common.arrow_map(distinct.select("rep", *names), spread, f"cell bigint, rep bigint, {words}")
-    scan = _scan(lambda fp, a, b: _wide_distance(fp, a, b, most), range(2, 2 + WIDE), SURE)
-    edges = put.repartition("cell").sortWithinPartitions("cell").mapInArrow(scan, "a bigint, b bigint, d bigint")
-    edges = common.written(edges.selectExpr("least(a, b) a", "greatest(a, b) b", "d").distinct(), "links")
+    spread = _spread(bits, bands(bits, similarity))
+    edges = wide_links(distinct.select("rep", *names), bits, similarity)
     sure = edges.where(F.col("d") <= SURE).select("a", "b")
     part = common.written(common.components(sure), "parts")
     maybe = edges.where(F.col("d") > SURE).join(part.toDF("a", "ca"), "a", "left").join(part.toDF("b", "cb"), "b", "left")
@@ -187,12 +178,83 @@ def similar(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) ->
     return made.join(known, names, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("comp")).alias("component_id"))
 
 
+_NAMES = tuple(f"f{k}" for k in range(WIDE))
+
+
+def band_bits(n: int) -> int:
+    """Bits of a band for n fingerprints: so many that a cell of unlike ones holds a few thousand at most."""
+    return max(BAND_BITS, n.bit_length() - 12)
+
+
+def bands(bits: int, similarity: float) -> int:
+    """So many bands that a share of MISSED of the pairs at this similarity agrees in none."""
+    differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(np.log(MISSED) / np.log1p(-((1 - differ) ** bits))))
+
+
+def _bits(b: pa.RecordBatch) -> np.ndarray:
+    x = np.stack([b.column(n).to_numpy() for n in _NAMES], axis=1)
+    return np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+
+
+def _choices(bits: int, many: int, seed: int) -> np.ndarray:
+    """`many` rows of `bits` places of a wide fingerprint; each place is used before any is used again."""
+    g = np.random.default_rng(seed)
+    order = np.concatenate([g.permutation(64 * WIDE) for _ in range(-(-many * bits // (64 * WIDE)))])
+    return order[: many * bits].reshape(many, bits)
+
+
+def _spread(bits: int, many: int):
+    """For arrow_map: a row for each band, `cell` first, with all columns of the batch."""
+    order = _choices(bits, many, 17)
+
+    def spread(b: pa.RecordBatch) -> dict:
+        bit = _bits(b)
+        cell = np.concatenate([bit[:, o] @ (1 << np.arange(bits)) + (k << 40) for k, o in enumerate(order)])
+        rows = np.tile(np.arange(len(bit)), many)
+        return {"cell": cell} | {n: b.column(n).to_numpy()[rows] for n in b.schema.names}
+
+    return spread
+
+
+def _spread_again(b: pa.RecordBatch) -> dict:
+    """Rows of crowded cells, by cell and further bands."""
+    bit, cell = _bits(b), b.column("cell").to_numpy().view(np.uint64)
+    order = _choices(SUB_BITS, SUB_BANDS, 23)
+    keys = np.concatenate([mix(cell * np.uint64(0x9E3779B97F4A7C15) + ((k << SUB_BITS) + bit[:, o] @ (1 << np.arange(SUB_BITS))).astype(np.uint64)) for k, o in enumerate(order)])
+    rows = np.tile(np.arange(len(cell)), len(order))
+    return {n: b.column(n).to_numpy()[rows] for n in b.schema.names} | {"cell": keys.view(np.int64)}
+
+
+def wide_links(distinct: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """Edges (a, b, d), a < b, between the rows (rep, words) of distinct wide fingerprints that meet in a band and may be that similar: all that is needed to join what all of them join, sure links apart from others. Written."""
+    words = ", ".join(f"{n} bigint" for n in _NAMES)
+    most = most_bits(similarity)
+    near = lambda fp, a, b: _wide_distance(fp, a, b, most)
+    put = common.arrow_map(distinct, _spread(bits, bands(bits, similarity)), f"cell bigint, rep bigint, {words}")
+    return _joined(put, distinct, _spread_again, near, range(2, 2 + WIDE), SURE, words)
+
+
+def _joined(put: DataFrame, distinct: DataFrame, again, near, prints: range, sure: int | None, words: str) -> DataFrame:
+    """The links of cells; members of crowded ones that the budget leaves are dealt by `again`, and searched to the end."""
+    scan = lambda df, budget: df.repartition("cell").sortWithinPartitions("cell").mapInArrow(_scan(near, prints, sure, budget), "a bigint, b bigint, d bigint")
+    found = common.written(scan(put, BUDGET), "cells")
+    links, rest = found.where("d >= 0"), found.where("d < 0").selectExpr("a rep", "b cell")
+    if not rest.isEmpty():
+        finer = common.arrow_map(rest.join(distinct, "rep").select("cell", *distinct.columns), again, f"cell bigint, rep bigint, {words}")
+        links = links.unionByName(scan(finer, None))
+    return common.written(links.selectExpr("least(a, b) a", "greatest(a, b) b", "d").distinct(), "links")
+
+
 def _wide_distance(fp: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    near = np.bitwise_count(fp[a, 0] ^ fp[b, 0]) <= min(64, most // WIDE + 14)
-    out = np.full(near.shape, -1, np.int64)
     a, b = np.broadcast_arrays(a, b)
-    d = np.bitwise_count(fp[a[near]] ^ fp[b[near]]).sum(1, dtype=np.int64)
-    out[near] = np.where(d <= most, d, -1)
+    d, left = np.zeros(len(a), np.int64), np.arange(len(a))
+    for k in range(0, WIDE, 3):  # most pairs are over the limit after three words
+        for j in range(k, min(k + 3, WIDE)):
+            d[left] += np.bitwise_count(fp[a[left], j] ^ fp[b[left], j])
+        left = left[d[left] <= most]
+    out = np.full(len(a), -1, np.int64)
+    out[left] = d[left]
     return out
 
 
@@ -209,9 +271,8 @@ def jaccard(a: str | None, b: str | None, shingle_words: int) -> float:
 
 def _verified(pairs: DataFrame, docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     """The rows (a, b) of pairs whose documents' texts are as similar as that. Only the texts that pairs name are moved."""
-    ids = pairs.selectExpr("explode(array(a, b)) doc_id").distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    ids = common.written(pairs.selectExpr("explode(array(a, b)) doc_id").distinct(), "ids")
+    texts = common.with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ids)
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
@@ -252,40 +313,49 @@ def _few_pairs(docs: DataFrame, reps: DataFrame, shingle_words: int, similarity:
     return put.repartition("gram").sortWithinPartitions("gram").mapInArrow(_across(close), _PAIR)
 
 
-#: From so many distinct fingerprints on, segments have one bit: a half's cells then are 3e-7 of all pairs instead of 7e-5.
-NARROW_FROM = 20_000_000
+#: Half the coordinates: one ring's segments, as digits of a number to the base 3.
+_PLACES = 3 ** np.arange(32, dtype=np.int64)
+_HALF = 3**32
+
+
+def cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, index into fp): each fingerprint's own cell and those one bit away, in both halves."""
+    bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64)
+    keys = [_ring(bits[:, 32 * half : 32 * half + 32]) + half * _HALF for half in range(2)]
+    every = np.concatenate([x.ravel() for x in keys])
+    return every, np.tile(np.repeat(np.arange(len(fp)), 33), 2)
+
+
+def _ring(bits: np.ndarray) -> np.ndarray:
+    """The cells of rows of bits: of their segments' counts, and with each bit turned, which moves two segments by one."""
+    places = _PLACES[: bits.shape[1]]
+    own = (bits + np.roll(bits, -1, axis=1)) @ places
+    return np.c_[own, own[:, None] + (1 - 2 * bits) * (places + np.roll(places, 1))]
 
 
-def cells(fp: np.ndarray, segment_bits: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, index into fp): each fingerprint's own and neighbouring cells in both halves."""
-    bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    point = bits.reshape(len(fp), -1, segment_bits).sum(2, dtype=np.int64)
-    dims = 32 // segment_bits
-    places = (segment_bits + 1) ** np.arange(dims, dtype=np.int64)
-    every = np.arange(len(fp))
-    keys, index = [], []
-    for half in range(2):
-        v = point[:, dims * half : dims * (half + 1)]
-        own = v @ places + half * (segment_bits + 1) ** dims
-        keys.append(own)
-        index.append(every)
-        for k in range(dims):
-            for step, may in ((1, v[:, k] < segment_bits), (-1, v[:, k] > 0)):
-                keys.append(own[may] + step * places[k])
-                index.append(every[may])
-    return np.concatenate(keys), np.concatenate(index)
+def _cells_again(b: pa.RecordBatch) -> dict:
+    """Rows of crowded cells (cell, rep, fp): pairs differ in four bits of the other half at most, so in two of one of its quarters."""
+    cell, fp = b.column("cell").to_numpy(), np.ascontiguousarray(b.column("fp").to_numpy()).view(np.uint8).reshape(-1, 8)
+    bits = np.unpackbits(fp, axis=1, bitorder="little").astype(np.int64)
+    other = np.where((cell >= _HALF)[:, None], bits[:, :32], bits[:, 32:])
+    keys = np.concatenate([(_ring(other[:, 16 * q : 16 * q + 16]) + q * 3**16).ravel() for q in range(2)]).view(np.uint64)
+    rows = np.tile(np.repeat(np.arange(len(cell)), 17), 2)
+    return {n: b.column(n).to_numpy()[rows] for n in b.schema.names} | {"cell": mix(mix(cell[rows].view(np.uint64)) + keys).view(np.int64)}
 
 
-_ODD = np.uint64(0x5555555555555555)
+_FIRST = np.uint64(0x0000000100000001)
+
+
+def _turned(x: np.ndarray) -> np.ndarray:
+    """Both rings turned by one place."""
+    return ((x & ~_FIRST) >> np.uint64(1)) | ((x & _FIRST) << np.uint64(31))
 
 
 def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The Manhattan distance of the segment counts."""
-    pa_, pb = ((x & _ODD) + ((x >> np.uint64(1)) & _ODD) for x in (a, b))
-    mask, out = np.uint64(3), np.zeros(np.broadcast(a, b).shape, np.int64)
-    for k in range(0, 64, 2):
-        out += np.abs(((pa_ >> np.uint64(k)) & mask).astype(np.int8) - ((pb >> np.uint64(k)) & mask).astype(np.int8))
-    return out
+    """Half the Manhattan distance of the segment counts, rounded up: a segment moves by two where both its bits turn alike, by one where one turns."""
+    x, up, down = a ^ b, a & ~b, b & ~a
+    two = (up & _turned(up)) | (down & _turned(down))
+    return (np.bitwise_count(x ^ _turned(x)).astype(np.int64) + 2 * np.bitwise_count(two) + 1) // 2
 
 
 def distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -318,15 +388,23 @@ def _forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[list, list, li
     return out
 
 
-def _dense(fp: np.ndarray, rep: np.ndarray, near, sure: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of one large run that connect what its links connect. Members reached by a sure link leave the search at once (without `sure` every link is); then each of the parts so made takes in others by its shortest links to them."""
+def _dense(fp: np.ndarray, rep: np.ndarray, near, sure: int | None, budget: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links of one large run that connect what its links connect, and the places whose pairs among each other the budget left untried.
+
+    Members reached by a sure link leave the search at once (without `sure` every link is); then each of the parts so made takes in others by its shortest links to them.
+    """
     out: list[tuple] = []
-    part, parts = np.full(len(rep), -1), 0
-    left = np.arange(len(rep))
-    while len(left):
+    part, parts, spent = np.full(len(rep), -1), 0, 0
+    left, rest = np.arange(len(rep)), np.zeros(0, np.int64)
+    while len(left) and not len(rest):
         front, part[left[0]], left = [left[0]], parts, left[1:]
         while front and len(left):
+            if budget is not None and spent > budget:
+                # members done with have met all others; but not for unsure links
+                rest = np.r_[front, left] if sure is None else np.arange(len(rep))
+                break
             at = front.pop()
+            spent += len(left)
             d = near(fp, np.array([at]), left)
             hit = d >= 0 if sure is None else (d >= 0) & (d <= sure)
             if hit.any():
@@ -335,12 +413,16 @@ def _dense(fp: np.ndarray, rep: np.ndarray, near, sure: int | None) -> tuple[np.
                 front += left[hit].tolist()
                 left = left[~hit]
         parts += 1
-    left = np.arange(len(rep) if sure is not None else 0)
-    while len(left):
+    left = np.arange(len(rep) if sure is not None and not len(rest) else 0)
+    while len(left) and not len(rest):
         own = part[left] == part[left[0]]
         front, left = left[own].tolist(), left[~own]
         while front and len(left):
+            if budget is not None and spent > budget:
+                rest = np.r_[front, left]
+                break
             at = front.pop()
+            spent += len(left)
             d = near(fp, np.array([at]), left)
             hit = np.flatnonzero(d > sure)
             if len(hit):
@@ -350,16 +432,20 @@ def _dense(fp: np.ndarray, rep: np.ndarray, near, sure: int | None) -> tuple[np.
                 took = np.isin(part[left], part[left[hit]])
                 front += left[took].tolist()
                 left = left[~took]
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (rep[:0],) * 3
+    return *(np.concatenate(x) for x in zip((rep[:0],) * 3, *out, strict=True)), rest
 
 
-def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, near, sure: int | None) -> tuple[list, list, list]:
-    """Of whole sorted runs. near(fp, a, b): the distances of pairs of places that are links, else -1."""
+def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, near, sure: int | None, budget: int | None) -> tuple[list, list, list]:
+    """Of whole sorted runs; what a run's budget leaves comes as (rep, cell, -1). near(fp, a, b): the distances of pairs of places that are links, else -1."""
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
-    found = [(rep[:0],) * 3]
+    found, undone = [(rep[:0],) * 3], ([], [], [])
     for s, n in zip(start[size > DENSE], size[size > DENSE], strict=True):
-        found.append(_dense(fp[s : s + n], rep[s : s + n], near, sure))
+        *links, rest = _dense(fp[s : s + n], rep[s : s + n], near, sure, budget)
+        found.append(tuple(links))
+        undone[0].extend(rep[s : s + n][rest].tolist())
+        undone[1].extend([int(key[s])] * len(rest))
+        undone[2].extend([-1] * len(rest))
     at = np.flatnonzero(np.repeat((size <= DENSE) & (size > 1), size))
     end = np.repeat(start + size, size)
     step = 1
@@ -368,15 +454,16 @@ def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, near, sure: int | N
         hit = d >= 0
         found.append((rep[at[hit]], rep[at[hit] + step], d[hit]))
         step += 1
-    return _forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    links = _forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    return tuple(x + y for x, y in zip(links, undone, strict=True))
 
 
-def _scan(near, prints: range, sure: int | None = None):
-    """Reads sorted rows (cell, rep, ..., fingerprint words ...); gives out the links' forest of each batch of whole cells, with their distances."""
+def _scan(near, prints: range, sure: int | None, budget: int | None):
+    """Reads sorted rows (cell, rep, ..., fingerprint words ...); gives out the links' forest of each batch of whole cells, with their distances, and what the budget left."""
 
     def edge(got: list[np.ndarray]):
         fp = np.stack([got[k] for k in prints], axis=1).view(np.uint64)
-        found = _links(got[0], fp, got[1], near, sure)
+        found = _links(got[0], fp, got[1], near, sure, budget)
         if found[0]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b", "d"])
 
@@ -450,16 +537,15 @@ def links(distinct: DataFrame, most: int = 4) -> DataFrame:
     """
     if not 0 <= most <= 4:
         raise ValueError("the grid finds distances of 0 to 4")
-    segment_bits = 2 if distinct.count() < NARROW_FROM else 1
 
     def spread(b: pa.RecordBatch) -> dict:
         fp, rep = b.column(0).to_numpy(), b.column(1).to_numpy()
-        key, i = cells(np.ascontiguousarray(fp).view(np.uint64), segment_bits)
+        key, i = cells(np.ascontiguousarray(fp).view(np.uint64))
         return {"cell": key, "fp": fp[i], "rep": rep[i]}
 
     put = common.arrow_map(distinct.select("fp", "rep"), spread, "cell bigint, rep bigint, fp bigint")
-    put = put.repartition("cell").sortWithinPartitions("cell")
-    return put.mapInArrow(_scan(lambda fp, a, b: distances(fp[a, 0], fp[b, 0], most), range(2, 3)), "a bigint, b bigint, d bigint").select("a", "b")
+    near = lambda fp, a, b: distances(fp[a, 0], fp[b, 0], most)
+    return _joined(put, distinct.select("rep", "fp"), _cells_again, near, range(2, 3), None, "fp bigint").select("a", "b")
 
 
 def groups(prints: DataFrame, most: int = 4) -> DataFrame:

@@ -45,10 +45,10 @@ def _components(fp, ids, most):
     return [least[k] for k in lab]
 
 
-@pytest.mark.parametrize("dense, narrow", [(2, 1 << 40), (256, 1 << 40), (256, 0)])
-def test_links_equal_brute_force(spark, monkeypatch, dense, narrow):
+@pytest.mark.parametrize("dense, budget", [(2, 1 << 26), (256, 1 << 26), (1, 0), (2, 3)])
+def test_links_equal_brute_force(spark, monkeypatch, dense, budget):
     monkeypatch.setattr(S, "DENSE", dense)
-    monkeypatch.setattr(S, "NARROW_FROM", narrow)
+    monkeypatch.setattr(S, "BUDGET", budget)
     g = np.random.default_rng(3)
     fp = g.integers(0, 2**64, 300, dtype=np.uint64)
     flips = np.array([[1 << int(b) for b in g.integers(0, 64, 8)] for _ in range(600)], np.uint64)
@@ -68,6 +68,19 @@ def test_the_embedding_is_a_lower_bound():
     a, b = (g.integers(0, 2**64, 2000, dtype=np.uint64) for _ in range(2))
     b[:500] = a[:500] ^ (np.uint64(1) << g.integers(0, 64, 500, dtype=np.uint64))
     assert (S.bound(a, b) <= np.bitwise_count(a ^ b)).all()
+    bits = [np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").reshape(-1, 2, 32).astype(int) for x in (a, b)]
+    counts = [x + np.roll(x, -1, axis=2) for x in bits]  # each segment's popcount
+    assert (S.bound(a, b) == (np.abs(counts[0] - counts[1]).sum((1, 2)) + 1) // 2).all()
+
+
+def test_fingerprints_four_bits_apart_share_a_cell():
+    g = np.random.default_rng(6)
+    for _ in range(200):
+        a = g.integers(0, 2**64, 1, dtype=np.uint64)
+        b = a.copy()
+        for bit in g.choice(64, 4, replace=False):
+            b ^= np.uint64(1) << np.uint64(bit)
+        assert set(S.cells(a)[0].tolist()) & set(S.cells(b)[0].tolist())
 
 
 def test_each_fingerprint_has_few_cells():
@@ -196,3 +209,91 @@ def test_few_pairs_at_the_border_are_passed_over():
         if 0.8 <= S.jaccard(" ".join(b), " ".join(c), 5) < 0.85:
             bits.append(int(np.bitwise_count(S.wide_fingerprint(" ".join(b)) ^ S.wide_fingerprint(" ".join(c))).sum()))
     assert max(bits) <= S.most_bits(0.8)
+
+
+def wide_pairs(g, n, similarity=0.8):
+    """n pairs of wide fingerprints whose bits differ as those of texts of this similarity do."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    a = g.integers(0, 2, (n, 64 * S.WIDE)).astype(np.uint8)
+    b = a ^ (g.random(a.shape) < p)
+    return [np.packbits(x, axis=1, bitorder="little").view(np.int64) for x in (a, b)]
+
+
+def prints_df(spark, x):
+    return spark.createDataFrame([(i, *v) for i, v in enumerate(x.tolist())], "rep long, " + ", ".join(f"{n} long" for n in S._NAMES))
+
+
+@pytest.mark.parametrize("bits", [12, 13, 15, 18])
+def test_one_rule_for_bands_of_any_length(spark, bits):
+    """The same recall whatever the number of fingerprints makes of the bands' length."""
+    a, b = wide_pairs(np.random.default_rng(bits), 2000)
+    got = {(r.a, r.b) for r in S.wide_links(prints_df(spark, np.r_[a, b]), bits, 0.8).collect()}
+    found = sum((i, 2000 + i) in got for i in range(2000))
+    print(bits, S.bands(bits, 0.8), found / 2000)
+    assert found >= 0.975 * 2000
+
+
+def test_a_cell_of_a_hundred_thousand(spark, monkeypatch):
+    """Unlike fingerprints that all agree in one band: the budget ends, and finer cells over many tasks find the pairs."""
+    monkeypatch.setattr(S, "BUDGET", 1 << 22)
+    g = np.random.default_rng(1)
+    a, b = wide_pairs(g, 300)
+    x = np.r_[g.integers(-(2**63), 2**63 - 1, (99_400, S.WIDE)), a, b]
+    bit = np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1, bitorder="little")
+    bit[:, S._choices(12, S.bands(12, 0.8), 17)[0]] = 1
+    x = np.packbits(bit, axis=1, bitorder="little").view(np.int64)
+    schema = "rep long, " + ", ".join(f"{n} long" for n in S._NAMES)
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"rep": np.arange(len(x))} | {n: x[:, k] for k, n in enumerate(S._NAMES)}), schema)
+    monkeypatch.setattr(S, "_spread", lambda bits, many: lambda batch: {"cell": np.zeros(batch.num_rows, np.int64)} | {n: batch.column(n).to_numpy() for n in batch.schema.names})  # the crowded cell only
+    got = {(r.a, r.b) for r in S.wide_links(df, 12, 0.8).collect()}
+    near = [i for i in range(300) if np.bitwise_count(x[99_400 + i] ^ x[99_700 + i]).sum() <= S.most_bits(0.8)]
+    assert sum((99_400 + i, 99_700 + i) in got for i in near) >= 0.99 * len(near)
+
+
+def exact_pairs(texts, similarity=0.8):
+    """All pairs of texts of this similarity or more, by prefixes of rare shingles."""
+    sets = [S.shingles(t) for t in texts]
+    every, times = np.unique(np.concatenate(sets), return_counts=True)
+    often = [times[np.searchsorted(every, x)] for x in sets]
+    lists, out = {}, set()
+    for i, (x, n) in enumerate(zip(sets, often, strict=True)):
+        for h in x[np.lexsort((x, n))][: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1].tolist():
+            for j in lists.setdefault(h, []):
+                if (j, i) not in out and similarity <= len(sets[j]) / max(1, len(x)) <= 1 / similarity:
+                    both = len(np.intersect1d(sets[j], x, assume_unique=True))
+                    if both >= similarity * (len(sets[j]) + len(x) - both) - 1e-9:
+                        out.add((j, i))
+            lists[h].append(i)
+    return out
+
+
+def test_all_similar_pairs_of_the_supplied_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    ids: dict = {}
+    for r in docs.orderBy("doc_id").collect():
+        ids.setdefault(" ".join((r.text or "").lower().split()), []).append(r.doc_id)
+    texts = [t for t in ids if t]
+    pairs = exact_pairs(texts)
+    got = {r.doc_id: r.component_id for r in S.similar(docs).collect()}
+    found = sum(got[ids[texts[a]][0]] == got[ids[texts[b]][0]] for a, b in pairs)
+    print("similar pairs of different texts:", len(pairs), "found:", found)
+    assert found >= 0.98 * len(pairs)
+    # no group but those that chains of such pairs make
+    up = {t: t for t in range(len(texts))}
+
+    def root(t):
+        while up[t] != t:
+            up[t] = up[up[t]]
+            t = up[t]
+        return t
+
+    for a, b in pairs:
+        up[root(a)] = root(b)
+    by_group: dict = {}
+    for t in range(len(texts)):
+        by_group.setdefault(got[ids[texts[t]][0]], set()).add(root(t))
+    wrong = sum(len(x) - 1 for x in by_group.values())
+    print("groups joined without a similar pair:", wrong)
+    assert wrong <= 0.02 * len(pairs)
