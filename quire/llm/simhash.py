@@ -24,8 +24,10 @@ band of bits meet in a cell, and the distance over all bits estimates the angle,
 at every size: bands of log2 of the number of fingerprints less 12 bits, BAND_BITS at least, so that cells stay small, and so many bands
 that of a hundred pairs at a similarity of 0.8 one meets in none. Links of SURE bits or fewer stand; the others that join
 what these leave apart are verified on the texts' shingle sets: first a spanning forest of them, then, among the fingerprints that
-a rejected one had joined, every pair of a cell whose ends are still apart. Distances say little of texts of
-few shingles; these meet on shared shingles, the rare ones first, and none of their pairs is passed over.
+a rejected one had joined, each one's nearest in other components, and where several components are left, all pairs of a cell
+that may still be similar. For these two steps a set has a mark of MARK parities, which bounds the number of shingles by which two sets
+differ from below, closely up to some hundreds: so what is left of a large group of near copies gives few candidates, and none is
+passed over. Distances say little of texts of few shingles; these meet on shared shingles, the rare ones first, and none of their pairs is passed over.
 """
 
 from __future__ import annotations
@@ -83,6 +85,8 @@ SUB_BITS, SUB_BANDS = 10, 32
 #: Wide fingerprints of so few differing bits are links without a look at the texts: 0.88 is expected there, 0.8 is 2.6 deviations away.
 SURE = 40
 
+#: Each member of a part with a rejected link has so many candidates of other components verified in each cell, the nearest ones.
+NEAREST = 3
 #: Texts of so few distinct shingles and all that may be similar to them are joined on their shingles.
 FEW = 20
 
@@ -155,29 +159,83 @@ def similar(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) ->
     right = common.written(_verified(maybe.select("a", "b"), docs, shingle_words, similarity), "verified")
     joined = common.written(common.components(sure.unionByName(right)), "joined")
 
-    # the forest left out pairs whose ends a rejected link had joined: all of these parts' pairs that are still apart
-    wrong = common.written(maybe.join(right, ["a", "b"], "left_anti"), "rejected")
+    # the forest left out pairs whose ends a rejected link had joined: these parts are looked at again, first for each member's nearest
+    # in other components, then, where several components are left, for every pair that may be similar
+    wrong = common.written(maybe.join(right, ["a", "b"], "left_anti").select("a", "b", "ca"), "rejected")
     near = common.written(common.components(maybe.selectExpr("ca a", "cb b")), "near")
-    torn = near.join(near.join(wrong.selectExpr("ca node").distinct(), "node", "left_semi").select("comp").distinct(), "comp", "left_semi").select("node")
-    named = lambda df: df.join(joined.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    again = distinct.join(part.toDF("rep", "part"), "rep", "left").join(torn, F.coalesce("part", "rep") == F.col("node"), "left_semi")
-    again = common.written(named(again.select("rep", *names)).select("rep", "comp", *names), "torn")
-    put = common.arrow_map(again, spread, f"cell bigint, rep bigint, comp bigint, {words}")
-
-    def close(got: list[np.ndarray], at: int, others: np.ndarray) -> np.ndarray:
-        d = sum(np.bitwise_count(w[others] ^ w[at]).astype(np.int64) for w in got[3:])
-        return d <= most
-
-    pairs = put.repartition("cell").sortWithinPartitions("cell").mapInArrow(_across(close), _PAIR)
-    pairs = pairs.unionByName(_few_pairs(docs, named(distinct.where("few").select("rep")), shingle_words, similarity, few))
-    pairs = common.written(pairs.distinct().join(wrong.select("a", "b"), ["a", "b"], "left_anti"), "apart")
-    more = pairs.join(_verified(pairs.select("a", "b"), docs, shingle_words, similarity), ["a", "b"], "left_semi")
-    last = common.components(more.selectExpr("ca a", "cb b"))
-    joined = joined.join(last.toDF("comp", "first"), "comp", "left").select("node", F.coalesce("first", "comp").alias("comp")).unionByName(last.join(joined, "node", "left_anti"))
+    torn = near.join(near.join(wrong.selectExpr("ca node").distinct(), "node", "left_semi").select("comp").distinct(), "comp", "left_semi")
+    again = distinct.join(part.toDF("rep", "part"), "rep", "left").join(torn.withColumnRenamed("comp", "whole"), F.coalesce("part", "rep") == F.col("node"))
+    again = common.written(_marked(again.select("rep", "whole", *names), docs, shingle_words), "torn")
+    tried = wrong.select("a", "b")
+    for most_each in (NEAREST, None):
+        parts = common.written(_named(again.select("rep", "whole"), joined), "torn-parts")
+        several = parts.groupBy("whole").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("whole")
+        several = again.join(parts.join(several, "whole", "left_semi").select("rep", "comp"), "rep")
+        put = common.arrow_map(several.select("rep", "comp", "n", "mark", *names), spread, "cell bigint, rep bigint, comp bigint, n bigint, mark binary")
+        pairs = put.repartition("cell").sortWithinPartitions("cell").mapInArrow(_across(_may_reach(similarity, most_each)), _PAIR)
+        if most_each is None:
+            pairs = pairs.unionByName(_few_pairs(docs, _named(distinct.where("few").select("rep"), joined), shingle_words, similarity))
+        pairs = common.written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "apart")
+        joined = _merged(joined, pairs.join(_verified(pairs.select("a", "b"), docs, shingle_words, similarity), ["a", "b"], "left_semi"))
+        tried = tried.unionByName(pairs.select("a", "b"))
     known = common.written(distinct.join(joined, distinct.rep == joined.node, "left").select(*names, F.coalesce("comp", "rep").alias("comp")), "known")
     return made.join(known, names, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("comp")).alias("component_id"))
 
 
+#: Bits of a set's mark.
+MARK = 4096
+
+
+def mark(h: np.ndarray) -> bytes:
+    """Each bit is the parity of the shingles that fall on it. Two sets' marks differ in no more bits than the sets differ in members, and in hardly fewer while these are some hundreds."""
+    return np.packbits(np.bincount((mix(h) % np.uint64(MARK)).astype(np.int64), minlength=MARK).astype(np.uint8) & 1).tobytes()
+
+
+def _marked(reps: DataFrame, docs: DataFrame, shingle_words: int) -> DataFrame:
+    """The rows (rep, ...) with the number of their texts' shingles and the set's mark."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids = common.written(reps.selectExpr("rep doc_id"), "torn-ids")
+    texts = common.with_ids(texts, ids).groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text"))
+
+    names = list(reps.columns)
+
+    def run(b: pa.RecordBatch) -> dict:
+        sets = [shingles(t, shingle_words) for t in b.column("text").to_pylist()]
+        return {n: b.column(n) for n in names} | {"n": [len(h) for h in sets], "mark": [mark(h) for h in sets]}
+
+    fields = ", ".join(f"{n} bigint" for n in names)
+    return common.arrow_map(reps.join(texts, "rep").select(*names, "text"), run, f"{fields}, n bigint, mark binary")
+
+
+def _may_reach(similarity: float, most: int | None):
+    """Chooses, for _across over (cell, rep, comp, n, mark), those whose marks allow this similarity; with `most` the nearest so many."""
+
+    def chosen(got: list[np.ndarray], at: int, others: np.ndarray) -> np.ndarray:
+        n, marks = got[3].view(np.int64), got[4]
+        total = n[at] + n[others]
+        fits = np.flatnonzero(np.minimum(n[at], n[others]) >= similarity * np.maximum(n[at], n[others]) - 1e-9)
+        apart = np.bitwise_count(marks[others[fits]] ^ marks[at]).sum(1, dtype=np.int64)
+        ok = (total[fits] - apart) * (1 + similarity) >= 2 * similarity * total[fits] - 1e-9
+        fits, apart = fits[ok], apart[ok]
+        if most is not None and len(fits) > most:
+            fits = fits[np.argpartition(apart / total[fits], most)[:most]]
+        return others[fits]
+
+    return chosen
+
+
+def _named(df: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows (rep, ...) with their component, which is the rep's own where nothing joins it."""
+    return df.join(joined.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+
+def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, comp) after links (ca, cb) between them."""
+    last = common.written(common.components(links.selectExpr("ca a", "cb b")), "last")
+    out = joined.join(last.toDF("comp", "first"), "comp", "left").select("node", F.coalesce("first", "comp").alias("comp"))
+    return common.written(out.unionByName(last.join(joined, "node", "left_anti")), "joined")
+
+
 _NAMES = tuple(f"f{k}" for k in range(WIDE))
 
 
@@ -212,7 +270,7 @@ def _spread(bits: int, many: int):
         bit = _bits(b)
         cell = np.concatenate([bit[:, o] @ (1 << np.arange(bits)) + (k << 40) for k, o in enumerate(order)])
         rows = np.tile(np.arange(len(bit)), many)
-        return {"cell": cell} | {n: b.column(n).to_numpy()[rows] for n in b.schema.names}
+        return {"cell": cell} | {n: b.column(n).take(pa.array(rows)) for n in b.schema.names}
 
     return spread
 
@@ -286,15 +344,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle_words: int, similarity:
 _PAIR = "a bigint, b bigint, ca bigint, cb bigint"
 
 
-def _few_pairs(docs: DataFrame, reps: DataFrame, shingle_words: int, similarity: float, few: int) -> DataFrame:
-    """Of the rows (rep, comp), texts of `few` shingles at most: all pairs (a, b, ca, cb) of different components that may be that similar.
+def _few_pairs(docs: DataFrame, reps: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """Of the texts of the rows (rep, comp): all pairs (a, b, ca, cb) of different components that may be that similar.
 
     Two such sets share a shingle among the first n - similarity * n + 1 of their n in any order that holds for all sets; the rare ones come first.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
 
     def grams(b: pa.RecordBatch) -> dict:
-        sets = [h if len(h) <= few else h[:0] for h in (shingles(t, shingle_words) for t in b.column(2).to_pylist())]
+        sets = [shingles(t, shingle_words) for t in b.column(2).to_pylist()]
         rows = np.repeat(np.arange(len(sets)), [len(h) for h in sets])
         return {"rep": b.column(0).to_numpy()[rows], "comp": b.column(1).to_numpy()[rows], "gram": np.concatenate(sets).view(np.int64)}
 
@@ -308,7 +366,7 @@ def _few_pairs(docs: DataFrame, reps: DataFrame, shingle_words: int, similarity:
     def close(got: list[np.ndarray], at: int, others: np.ndarray) -> np.ndarray:
         n, place = got[3].view(np.int64), got[4].view(np.int64)
         both = np.minimum(n[at] - place[at], n[others] - place[others]) + np.minimum(place[at], place[others])  # at most so many are shared
-        return both * (1 + similarity) >= similarity * (n[at] + n[others]) - 1e-9
+        return others[both * (1 + similarity) >= similarity * (n[at] + n[others]) - 1e-9]
 
     return put.repartition("gram").sortWithinPartitions("gram").mapInArrow(_across(close), _PAIR)
 
@@ -470,8 +528,8 @@ def _scan(near, prints: range, sure: int | None, budget: int | None):
     return _whole_cells(edge)
 
 
-def _across(close):
-    """Reads sorted rows (cell, rep, component, ...); gives out every pair of a cell's members in different components that close(columns, place, places) takes.
+def _across(chosen):
+    """Reads sorted rows (cell, rep, component, ...); gives out pairs of a cell's members in different components: of each place those that chosen(columns, place, places) takes of the others.
 
     A cell's largest component comes last, so that no step is spent within one.
     """
@@ -498,7 +556,7 @@ def _across(close):
                 others = order[ends[i] :]
                 if not len(others):
                     break
-                others = others[close(got, order[i], others)]
+                others = chosen(got, order[i], others)
                 if len(others):
                     found.append((np.full(len(others), rep[order[i]]), rep[others], np.full(len(others), comp[order[i]]), comp[others]))
                     held += len(others)
@@ -511,13 +569,18 @@ def _across(close):
     return _whole_cells(pairs)
 
 
+def _array(c: pa.Array) -> np.ndarray:
+    """A column's values; marks as rows of words."""
+    return np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1) if pa.types.is_binary(c.type) else c.to_numpy()
+
+
 def _whole_cells(edge):
     """mapInArrow function that calls edge(columns) with whole cells of sorted rows."""
 
     def scan(batches):
         held: list = []
         for b in batches:
-            held.append([c.to_numpy() for c in b.columns])
+            held.append([_array(c) for c in b.columns])
             # joined only where a cell ends, so that a very large cell is copied once
             if b.num_rows and held[-1][0][-1] != held[0][0][0]:
                 got = [np.concatenate(x) for x in zip(*held, strict=True)]
