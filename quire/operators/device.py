@@ -90,30 +90,49 @@ def split_hop(spec: Column) -> Column:
     return F.struct(user.alias("user"), host.alias("host"), port.try_cast("int").alias("port"), error.alias("error"))
 
 
-def jump_routes(spark: SparkSession, hosts: DataFrame, depth: int = 16) -> DataFrame:
+def jump_routes(spark: SparkSession, hosts: DataFrame) -> DataFrame:
     """Rows (host, step, hop): each host's jump hosts, outermost first, from rows (host, proxyjump). `none` ends; a hop met before is left out, so cycles end.
 
-    A recursive query over the hops' places: a hop's own jumps come before it.
+    A recursive query over the hops' places: a hop's own jumps come before it. A chain beyond the session's
+    spark.sql.cteRecursionLevelLimit (100 unless set) is an error, none is cut.
     """
-    hosts.createOrReplaceTempView("quire_hosts")
-    spark.sql("select host, trim(spec) hop, pos from quire_hosts lateral view posexplode(split(proxyjump, ',')) x as pos, spec where proxyjump <> '' and lower(trim(proxyjump)) <> 'none'").createOrReplaceTempView("quire_jumps")
-    name = "regexp_replace(regexp_replace(j.hop, '^.*@', ''), ':[0-9]+$', '')"
-    return spark.sql(f"""
+    jumps = hosts.where("proxyjump <> '' and lower(trim(proxyjump)) <> 'none'").select("host", F.posexplode(F.split("proxyjump", ",")).alias("pos", "spec"))
+    jumps = jumps.select("host", F.trim("spec").alias("hop"), "pos").withColumn("name", F.regexp_replace(F.regexp_replace("hop", "^.*@", ""), ":[0-9]+$", ""))
+    return spark.sql(
+        """
 with recursive r(host, hop, at, way, place) as (
-  select host, hop, {name.replace('j.', '')}, array(host, {name.replace('j.', '')}), array(pos) from quire_jumps where {name.replace('j.', '')} <> host
+  select host, hop, name, array(host, name), array(pos) from {jumps} where name <> host
   union all
-  select r.host, j.hop, {name}, concat(r.way, array({name})), concat(r.place, array(j.pos)) from r join quire_jumps j on j.host = r.at where not array_contains(r.way, {name}) and size(r.place) < {depth}),
+  select r.host, j.hop, j.name, concat(r.way, array(j.name)), concat(r.place, array(j.pos)) from r join {jumps} j on j.host = r.at where not array_contains(r.way, j.name)),
 f as (select host, at, min_by(hop, concat(place, array(2147483647))) hop, min(concat(place, array(2147483647))) place from r group by host, at)
-select host, cast(row_number() over (partition by host order by place) as int) step, hop from f""")
-
-
-def effective_ssh(directives: DataFrame) -> DataFrame:
-    """Rows (alias, hostname, user, port, proxyjump, error) from directives (alias, ord, key, value): the first of each key holds; of ProxyJump and ProxyCommand the first, and a command other than none is an error."""
-    t = directives.withColumn("key", F.lower("key"))
-    first = lambda *k: F.min_by("value", F.when(F.col("key").isin(*k), F.col("ord")))
-    kind = F.min_by("key", F.when(F.col("key").isin("proxyjump", "proxycommand"), F.col("ord")))
-    g = t.groupBy("alias").agg(first("hostname").alias("hostname"), first("user").alias("user"), first("port").alias("port"), first("proxyjump", "proxycommand").alias("proxy"), kind.alias("kind"), *(F.max(F.col("key") == k).alias(f"has_{k}") for k in ("hostname", "user", "port")), F.max(F.col("key").isin("proxyjump", "proxycommand")).alias("has_proxy"))
-    keep = lambda c: F.when(F.col(f"has_{c}"), F.col(c)).otherwise("").alias(c)
-    jump = F.when(F.col("has_proxy") & (F.col("kind") == "proxyjump"), F.col("proxy")).otherwise("")
-    error = F.when(F.col("has_proxy") & (F.col("kind") == "proxycommand") & (F.lower("proxy") != "none"), F.lit("ProxyCommand is unsupported"))
-    return g.select("alias", keep("hostname"), keep("user"), keep("port"), jump.alias("proxyjump"), error.alias("error"))
+select host, cast(row_number() over (partition by host order by place) as int) step, hop from f""",
+        jumps=jumps,
+    )
+
+
+def applies(alias: Column, patterns: Column) -> Column:
+    """Does the alias match one of the patterns (`*` any characters, `?` one) and none of those with `!` in front?"""
+    regex = lambda p: F.concat(F.lit(r"\A(?s:"), F.replace(F.replace(F.regexp_replace(p, r"([^\w*?])", r"\\$1"), F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit(r")\z"))
+    bars = lambda p: F.startswith(p, F.lit("!"))
+    yes = F.exists(patterns, lambda p: ~bars(p) & F.rlike(alias, regex(p)))
+    return yes & ~F.exists(patterns, lambda p: bars(p) & F.rlike(alias, regex(F.substring(p, F.lit(2), F.length(p)))))
+
+
+def effective_ssh(directives: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Rows (alias, hostname, user, port, proxyjump, error) for each alias of hosts, from directives (patterns, ord, key, value).
+
+    Of all directives that apply to the alias the first of each key holds. The first of ProxyJump and ProxyCommand rules out the
+    other, but a jump of `none` doesn't; a command other than none is an error. A configuration is small, so its blocks go to every alias.
+    """
+    keys = ("hostname", "user", "port", "proxyjump", "proxycommand")
+    d = directives.withColumn("key", F.lower("key")).where(F.col("key").isin(*keys))
+    blocks = d.groupBy("patterns").agg(F.collect_list(F.struct("ord", "key", "value")).alias("own"))
+    names = hosts.select("alias").distinct()
+    own = names.join(F.broadcast(blocks), applies(F.col("alias"), F.col("patterns"))).select("alias", F.explode("own").alias("x")).select("alias", "x.*")
+    first = own.groupBy("alias").agg(*(F.min(F.when(F.col("key") == k, F.struct("ord", "value"))).alias(k) for k in keys))
+    value = lambda k: F.coalesce(F.col(f"{k}.value"), F.lit(""))
+    jumps = F.coalesce(F.lower(F.trim("proxyjump.value")) != "none", F.lit(False))
+    command = F.col("proxycommand").isNotNull() & (~jumps | (F.col("proxycommand.ord") < F.col("proxyjump.ord")))
+    error = F.when(command & (F.lower("proxycommand.value") != "none"), F.lit("ProxyCommand is unsupported"))
+    out = first.select("alias", value("hostname").alias("hostname"), value("user").alias("user"), value("port").alias("port"), F.when(command, F.lit("")).otherwise(value("proxyjump")).alias("proxyjump"), error.alias("error"))
+    return names.join(out, "alias", "left").fillna("", ["hostname", "user", "port", "proxyjump"])

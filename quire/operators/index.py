@@ -13,22 +13,20 @@ def lookup(texts: DataFrame, index: DataFrame, key: str = "id") -> DataFrame:
     """For each row (key, text) the best row (ord, command, source) of the index, or none.
 
     One keyword list must be a prefix of the other, over two words at least or the whole of both; the longest common part wins,
-    then the smallest ord. So the whole of either list equals a prefix of the other: two equi-joins on exploded prefixes,
-    linear in the inputs, and the best row is an aggregation.
+    then the smallest ord. So the whole of either list equals a prefix of the other: two equi-joins on prefixes,
+    linear in the inputs, and the best row is an aggregation. Of index rows under one prefix only the first can win, so the index has one row for each.
     """
     want = texts.select(key, C.keywords(F.col("text")).alias("k")).where(F.size("k") > 0)
     have = index.select("ord", "command", "source", C.keywords(F.col("command")).alias("k")).where(F.size("k") > 0)
-    prefixes = lambda df, shorter: df.withColumn("n", F.explode(F.sequence(F.lit(1), F.size("k") - int(shorter)) if not shorter else F.when(F.size("k") > 1, F.sequence(F.lit(1), F.size("k") - 1)).otherwise(F.array().cast("array<int>"))))
-    joined = lambda c: F.array_join(c, " ")
-    a = prefixes(want, False).select(key, F.size("k").alias("w"), "n", joined(F.slice("k", F.lit(1), F.col("n"))).alias("p"))
-    b = have.select("ord", "command", "source", F.size("k").alias("n"), joined(F.col("k")).alias("p"))
-    over = a.join(b, ["p", "n"]).where("n >= 2 or n = w")
-    c = want.select(key, F.size("k").alias("n"), joined(F.col("k")).alias("p")).where("n >= 2")
-    d = prefixes(have, True).where("n >= 2").select("ord", "command", "source", "n", joined(F.slice("k", F.lit(1), F.col("n"))).alias("p"))
-    under = c.join(d, ["p", "n"])
-    cols = [key, "n", "ord", "command", "source"]
-    both = over.select(cols).unionByName(under.select(cols))
-    best = both.groupBy(key).agg(F.min_by(F.struct("command", "source", "n"), F.struct(-F.col("n"), F.col("ord"))).alias("b")).select(key, "b.*")
+    words = lambda n: F.array_join(F.slice("k", F.lit(1), n), " ")
+    first = lambda df: df.groupBy("p", "n").agg(F.min(F.struct("ord", "command", "source")).alias("row"))
+    whole = lambda df, *c: df.select(*c, F.size("k").alias("n"), words(F.size("k")).alias("p"))
+    shorter = F.when(F.size("k") > 2, F.sequence(F.lit(2), F.size("k") - 1)).otherwise(F.array().cast("array<int>"))
+    longer = first(have.withColumn("n", F.explode(shorter)).select("ord", "command", "source", "n", words(F.col("n")).alias("p")))
+    over = want.select(key, "k", F.size("k").alias("w"), F.explode(F.sequence(F.lit(1), F.size("k"))).alias("n")).where("n >= 2 or n = w").select(key, "n", words(F.col("n")).alias("p"))
+    cols = [key, "n", "row"]
+    both = over.join(first(whole(have, "ord", "command", "source")), ["p", "n"]).select(cols).unionByName(whole(want, key).join(longer, ["p", "n"]).select(cols))
+    best = both.groupBy(key).agg(F.min_by(F.struct("row.command", "row.source", "n"), F.struct(-F.col("n"), F.col("row.ord"))).alias("b")).select(key, "b.*")
     return texts.select(key, "text").join(best, key, "left")
 
 
@@ -115,8 +113,8 @@ def slices(index: DataFrame, bodies: DataFrame, needle: str, length: int = 30) -
 
     after = F.lead("line").over(Window.partitionBy("file").orderBy("line"))
     hit = index.withColumn("stop", F.coalesce(after, F.lit(2**31 - 1))).where(F.contains("title", F.lit(needle)))
-    hit = hit.withColumn("stop", F.least("stop", F.col("line") + length))
-    return hit.join(bodies, "file").where("line_no >= line and line_no < stop").select("file", "title", "line", "line_no", "body")
+    hit = hit.where("stop > line").select("file", "title", "line", F.explode(F.sequence("line", F.least("stop", F.col("line") + length) - 1)).alias("line_no"))
+    return hit.join(bodies, ["file", "line_no"]).select("file", "title", "line", "line_no", "body")
 
 
 def named(index: DataFrame, names: DataFrame) -> DataFrame:

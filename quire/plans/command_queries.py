@@ -45,8 +45,9 @@ def family_counts(spark, sf):
 
 
 def _sides(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.lower("p_name").alias("command"), F.concat(F.lit("p"), "p_partkey").alias("source"))
-    return p, p.where("ord < 40")
+    """Two series that share the table between them: one brand, and all others."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.lower("p_name").alias("command"), F.concat(F.lit("p"), "p_partkey").alias("source"), (F.col("p_brand") == "Brand#11").alias("one"))
+    return p.where("one is null or not one").drop("one"), p.where("one").drop("one")
 
 
 def family_setdiff(spark, sf):
@@ -63,14 +64,7 @@ def command_lookup_top1(spark, sf):
 
 
 def part_lookup_top1(spark, sf):
-    """Every part's name looked up in an index of the first 59 parts, as its SQL has it; part_lookup_whole has all names."""
-    p = table(spark, sf, "part")
-    index = p.where("p_partkey < 60").select(F.col("p_partkey").alias("ord"), F.lower("p_name").alias("command"), F.concat(F.lit("p"), "p_partkey").alias("source"))
-    return I.lookup(p.select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("text")), index).select("id", "source")
-
-
-def part_lookup_whole(spark, sf):
-    """Every part's name looked up in an index of all distinct names: equi-joins on prefixes."""
+    """Every part's name looked up in an index of all distinct names."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("text"))
     index = p.groupBy(F.col("text").alias("command")).agg(F.min("id").alias("ord")).select("ord", "command", F.concat(F.lit("p"), "ord").alias("source"))
     return I.lookup(p, index).select("id", "source")
@@ -132,16 +126,7 @@ def section_index_rows(spark, sf):
 
 
 def index_lookup_slice(spark, sf):
-    """Bodies of the documents whose section title holds a word, from the section's line on; every fourth line is a section, as its SQL has it. index_lookup_whole takes all."""
-    from quire.operators.lines import exploded
-
-    body = exploded(table(spark, sf, "documents"), "doc_id").select(F.concat(F.lit("d"), "doc_id").alias("file"), "line_no", F.col("line").alias("body"))
-    index = body.where("(line_no - 1) % 4 = 0").select("file", F.col("line_no").alias("line"), F.substring("body", 1, 40).alias("title"))
-    return I.slices(index, body, "the", 3).select("file", "line", "line_no", F.sha2("body", 256).alias("digest"))
-
-
-def index_lookup_whole(spark, sf):
-    """The same with every line in the index, its whole text as title, and the operator's own length."""
+    """Bodies of the documents' lines that hold a word: every line is in the index, with its whole text as title."""
     from quire.operators.lines import exploded
 
     body = exploded(table(spark, sf, "documents"), "doc_id").select(F.concat(F.lit("d"), "doc_id").alias("file"), "line_no", F.col("line").alias("body"))
@@ -174,7 +159,11 @@ GATE = Relation("c string", [("show ip",), ("SHOW x",), ("showx",), (" show a",)
 
 
 def show_command_gate(spark, sf):
-    own = table(spark, sf, "documents").where("text is not null").select(F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("show ")).otherwise(""), F.substring_index("text", "\n", 1)).alias("c"))
+    """Every line of every document as a command, every second document's with `show` in front."""
+    from quire.operators.lines import exploded
+
+    lines = exploded(table(spark, sf, "documents"), "doc_id")
+    own = lines.select(F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("show ")).otherwise(""), "line").alias("c"))
     return GATE.df(spark).unionByName(own).groupBy(C.is_show(F.col("c")).alias("ok")).agg(F.count("*").alias("n"))
 
 
@@ -242,11 +231,19 @@ def hop_parts(spark, sf):
     return HOPS.df(spark).select("spec", D.split_hop(F.col("spec")).alias("h")).select("spec", "h.*")
 
 
-DIRECTIVES = Relation("alias string, ord int, key string, value string", [("a", 1, "HostName", "h1"), ("a", 2, "HostName", "h2"), ("a", 3, "ProxyJump", "j"), ("a", 4, "ProxyCommand", "nc"), ("b", 1, "ProxyCommand", "nc x"), ("b", 2, "ProxyJump", "j"), ("c", 1, "ProxyCommand", "none"), ("c", 2, "User", "u")])
+DIRECTIVES = Relation(
+    "patterns array<string>, ord int, key string, value string",
+    [
+        (["supplier#*1", "!supplier#*01"], 0, "User", "ones"), (["supplier#0000?????", "edge"], 1, "HostName", "192.0.2.7"), (["a"], 2, "HostName", "h1"), (["a"], 3, "HostName", "h2"), (["a"], 4, "ProxyJump", "j"), (["a"], 5, "ProxyCommand", "nc"), (["b"], 6, "ProxyCommand", "nc x"), (["b"], 7, "ProxyJump", "j"),
+        (["c"], 8, "ProxyCommand", "none"), (["c"], 9, "User", "u"), (["d*", "e.?"], 10, "proxyjump", "none"), (["d*"], 11, "ProxyCommand", "nc y"), (["e.?"], 12, "User", "dot"), (["*", "!a"], 13, "Port", "2222"), (["*"], 14, "User", "all"), (["*"], 15, "Port", "22"),
+    ],
+)
+ALIASES = Relation("alias string", [(x,) for x in ("a", "b", "c", "dd", "e.1", "exx", "edge", "(x", "")])
 
 
 def ssh_effective(spark, sf):
-    return D.effective_ssh(DIRECTIVES.df(spark))
+    """Fixed aliases and one for every supplier."""
+    return D.effective_ssh(DIRECTIVES.df(spark), ALIASES.df(spark).unionByName(table(spark, sf, "supplier").select(F.lower("s_name").alias("alias"))))
 
 
 def mask_url_tokens(spark, sf):
@@ -324,7 +321,7 @@ def web_snippets(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (commands_of, family_counts, family_setdiff, command_lookup_top1, part_lookup_top1, part_lookup_whole, expand_alternatives, difference_rows, command_index_rows, section_index_rows, index_lookup_slice, index_lookup_whole, name_mapping, diagnostic_status, show_command_gate, config_lines, backup_names, transcript_status, target_resolution, auth_sources, device_lines, jump_routes, hop_parts, ssh_effective, mask_url_tokens, retry_plan, fetch_decisions, cache_completeness, figure_marks, figure_names, scan_numbering, scan_counts, manifest_defaults, page_titles, web_snippets)
+    for f in (commands_of, family_counts, family_setdiff, command_lookup_top1, part_lookup_top1, expand_alternatives, difference_rows, command_index_rows, section_index_rows, index_lookup_slice, name_mapping, diagnostic_status, show_command_gate, config_lines, backup_names, transcript_status, target_resolution, auth_sources, device_lines, jump_routes, hop_parts, ssh_effective, mask_url_tokens, retry_plan, fetch_decisions, cache_completeness, figure_marks, figure_names, scan_numbering, scan_counts, manifest_defaults, page_titles, web_snippets)
 }
 
 _ERR_CONFIG = f"case when op = 'config' then (case when {_ERROR} then 'failed' else 'ok' end) else {_STATUS} end"
@@ -338,11 +335,14 @@ f as (select *, not (ind > base or not regexp_matches(t, '^[a-z]')) opens from b
 c as (select entry, u, string_agg(t, ' ' order by field, line_no) command from u where u > 0 group by all), k as (select entry, command, min(u) u from c where not starts_with(command, 'no ') group by all)
 select entry, (row_number() over (partition by entry order by u) - 1)::int i, command from k""",
     "family_counts": f"select {_family('lower(p_name)')} family, count(*) n, min(p_partkey) first_part from part group by 1",
-    "family_setdiff": f"""with l as (select p_partkey ord, lower(p_name) command, 'p' || p_partkey source from part), f as (select *, {_family('command')} family, {_keywords('command')} k from l),
-there as (select distinct array_to_string(list_slice(k, 1, n), ' ') family from (select k, unnest(generate_series(1, len(k))) n from f where ord < 40))
+    "family_setdiff": f"""with l as (select p_partkey ord, lower(p_name) command, 'p' || p_partkey source from part where p_brand is distinct from 'Brand#11'), f as (select *, {_family('command')} family from l),
+there as (select distinct array_to_string(list_slice(k, 1, n), ' ') family from (select k, unnest(generate_series(1, len(k))) n from (select {_keywords('lower(p_name)')} k from part where p_brand = 'Brand#11')))
 select family, count(*) n, arg_min(command, ord) example, arg_min(source, ord) source from f where family <> '' and family not in (select family from there) and family not in ('almond antique', 'none') group by family""",
     "command_lookup_top1": _LOOKUP.format(kw=_keywords("text"), kh=_keywords("command"), texts=f"select * from {TEXTS.sql()}", index=f"select * from {INDEX.sql()}") + " select w.id, w.text, r.command, r.source, r.n::int n from w left join r on w.id = r.id and r.p = 1",
-    "part_lookup_top1": _LOOKUP.format(kw=_keywords("text"), kh=_keywords("command"), texts="select p_partkey id, lower(p_name) text from part", index="select p_partkey ord, lower(p_name) command, 'p' || p_partkey source from part where p_partkey < 60") + " select w.id, r.source from w left join r on w.id = r.id and r.p = 1",
+    "part_lookup_top1": f"""with p as (select p_partkey, lower(p_name) name, {_keywords('lower(p_name)')} k from part), w as (select p_partkey id, k from p), h as (select min(p_partkey) ord, any_value(k) k from p group by name),
+o as (select id, n, list_slice(k, 1, n) p from (select *, unnest(generate_series(1, len(k))) n from w) where n >= 2 or n = len(k)), u as (select ord, n, list_slice(k, 1, n) p from (select *, unnest(generate_series(2, len(k) - 1)) n from h)),
+m as (select o.id, o.n, h.ord from o join h on h.k = o.p union all select w.id, u.n, u.ord from w join u on w.k = u.p),
+r as (select *, row_number() over (partition by id order by n desc, ord) p from m) select w.id, case when r.ord is not null then 'p' || r.ord end source from w left join r on r.id = w.id and r.p = 1""",
     "expand_alternatives": _opened("id", f"select * from {ALTERNATIVES.sql()}") + f" select id, (row_number() over (partition by id order by place) - 1)::int i, c command from o where not regexp_matches(c, '{C.ALTERNATIVES}')",
     "difference_rows": _opened("table_id, kind, ref, row_no, function, l, r, note", f"select *, command s from {CELLS.sql()}")
     + f""", e as (select *, (row_number() over (partition by table_id, row_no order by place) - 1)::int i, string_split(r, chr(10)) rs from o where not regexp_matches(c, '{C.ALTERNATIVES}')),
@@ -358,11 +358,11 @@ select part, kind, left_ as "left", right_ as "right", source, ref_left, ref_rig
     "command_index_rows": f"select unnest(cmds) command, title entry, file, line, source from {ENTRIES.sql()}",
     "section_index_rows": f"select coalesce(nullif(number, ''), anchor) section, title, file, line, source from {HEADINGS.sql()}",
     "index_lookup_slice": """with b as (select 'd' || doc_id file, unnest(string_split(text, chr(10))) body, generate_subscripts(string_split(text, chr(10)), 1) line_no from documents where text is not null),
-i as (select file, line_no line, substr(body, 1, 40) title, lead(line_no) over (partition by file order by line_no) nxt from b where (line_no - 1) % 4 = 0)
-select b.file, i.line::int line, b.line_no::int line_no, sha256(body) digest from i join b on b.file = i.file and b.line_no >= i.line and b.line_no < least(coalesce(nxt, 2147483647), line + 3) where contains(title, 'the')""",
+i as (select file, line_no line, body title, lead(line_no) over (partition by file order by line_no) nxt from b)
+select b.file, i.line::int line, b.line_no::int line_no, sha256(body) digest from i join b on b.file = i.file and b.line_no >= i.line and b.line_no < least(coalesce(nxt, 2147483647), line + 30) where contains(title, 'the')""",
     "name_mapping": f"select title, file, name from (select *, unnest(regexp_split_to_array(title, ',\\s*')) as name from {FUNCTIONS.sql()}) where name in ('IPsec', 'BGP')",
     "diagnostic_status": f"select id, {_STATUS} status from {OUTPUTS.sql()}",
-    "show_command_gate": f"""with c as (select c from {GATE.sql()} union all select (case when doc_id % 2 = 0 then 'show ' else '' end) || string_split(text, chr(10))[1] from documents where text is not null)
+    "show_command_gate": f"""with c as (select c from {GATE.sql()} union all select (case when doc_id % 2 = 0 then 'show ' else '' end) || unnest(string_split(text, chr(10))) from documents where text is not null)
 select not regexp_matches(c, '[\\p{{C}}\\p{{Zl}}\\p{{Zp}}]') and not regexp_matches(c, '[\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]') and lower(regexp_extract({_trim('c')}, '^([^ ]*)', 1)) = 'show' ok, count(*) n from c group by 1""",
     "config_lines": f"""with f as (select (id * -1)::bigint id, text from {FILES.sql()} union all select doc_id, text from documents where text is not null),
 l as (select id, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x{{0B}}\\x{{0C}}\\x{{1C}}-\\x{{1E}}\\x{{85}}\\x{{2028}}\\x{{2029}}]')) line, generate_subscripts(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x{{0B}}\\x{{0C}}\\x{{1C}}-\\x{{1E}}\\x{{85}}\\x{{2028}}\\x{{2029}}]'), 1) i from f),
@@ -385,9 +385,12 @@ f as (select host, nm, arg_min(hop, list_append(place, 2147483647)) hop, min(lis
     "hop_parts": f"""with t as (select spec, case when contains(spec, '@') then regexp_extract(spec, '^(.*)@', 1) else '' end u, regexp_replace(spec, '^.*@', '') r from {HOPS.sql()}),
 p as (select *, length(r) - length(replace(r, ':', '')) = 1 one from t), q as (select spec, u, case when one then split_part(r, ':', 1) else r end host, case when one then split_part(r, ':', 2) else '' end p, one from p)
 select spec, u as user, host, try_cast(p as int) port, case when host = '' then 'no host' when one and (try_cast(p as int) is null or try_cast(p as int) not between 1 and 65535) then 'bad port' end error from q""",
-    "ssh_effective": f"""with d as (select alias, ord, lower(key) key, value from {DIRECTIVES.sql()}), p as (select alias, arg_min(key, ord) k, arg_min(value, ord) v from d where key in ('proxyjump', 'proxycommand') group by alias),
-g as (select alias, arg_min(value, ord) filter (key = 'hostname') hostname, arg_min(value, ord) filter (key = 'user') u, arg_min(value, ord) filter (key = 'port') port from d group by alias)
-select g.alias, coalesce(hostname, '') hostname, coalesce(u, '') as user, coalesce(port, '') port, case when k = 'proxyjump' then v else '' end proxyjump, case when k = 'proxycommand' and lower(v) <> 'none' then 'ProxyCommand is unsupported' end error from g left join p using (alias)""",
+    "ssh_effective": f"""with h as (select alias from {ALIASES.sql()} union select lower(s_name) from supplier), d as (select *, row_number() over () id from {DIRECTIVES.sql()}),
+m as (select h.alias, d.ord, lower(key) key, value from h, d where len(list_filter(patterns, lambda p: not starts_with(p, '!') and alias glob p)) > 0 and len(list_filter(patterns, lambda p: starts_with(p, '!') and alias glob p[2:])) = 0),
+f as (select alias, key, min(ord) ord, arg_min(value, ord) v from m group by all),
+g as (select alias, max(v) filter (key = 'hostname') hostname, max(v) filter (key = 'user') u, max(v) filter (key = 'port') port, max(v) filter (key = 'proxyjump') pj, max(ord) filter (key = 'proxyjump') pjo, max(v) filter (key = 'proxycommand') pc, max(ord) filter (key = 'proxycommand') pco from f group by alias),
+c as (select *, pc is not null and (coalesce(lower(trim(pj)), 'none') = 'none' or pco < pjo) is_command from g)
+select h.alias, coalesce(hostname, '') hostname, coalesce(u, '') as user, coalesce(port, '') port, case when is_command then '' else coalesce(pj, '') end proxyjump, case when is_command and lower(pc) <> 'none' then 'ProxyCommand is unsupported' end error from h left join c using (alias)""",
     "mask_url_tokens": "select page_id, 'get ' || (case when contains(url, '?') or contains(url, '@') then '[REDACTED]' else url end) || ' user [REDACTED] a@b c?d' masked from pages",
     "retry_plan": f"""with t as (select *, 2 << attempt u, case when status in (429, 503) then case when regexp_matches(header, '^\\d+$') then header::int when header like '%GMT' then greatest(0, epoch(strptime(header, '%a, %d %b %Y %H:%M:%S GMT') - timestamp '2026-11-26 00:00:00'))::int end end o from {RETRIES.sql()})
 select status, header, attempt, least as "least", status in (429, 500, 502, 503, 504) and attempt < 2 again, case when coalesce(o, 0) <= 30 then greatest(coalesce(o, u), "least")::int end as "seconds", case when o > 30 then 'asked to wait too long' end error from t""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 import posixpath
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -193,35 +194,52 @@ def config_lines(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.posexplode("l").alias("p", "line")).select((F.col("p") + 1).alias("seq"), "line")
 
 
-def ssh_directives(spark: SparkSession, path: str, depth: int = 8) -> DataFrame:
-    """Rows (alias, ord, key, value) of an ssh configuration, Include files read in place; deeper than `depth` is an error.
+#: Fixed value: a directive is a word, white space or one equals sign, and the rest.
+_DIRECTIVE = re.compile(r"(\w+)(?:[ \t]*=[ \t]*|[ \t]+)(.*)\Z")
 
-    A configuration is a few small files, so this runs in the driver.
-    """
 
-    def read(file: str, level: int) -> list[str]:
-        if level > depth:
-            raise ValueError(f"{file}: Include goes deeper than {depth}")
-        out = []
-        with open(file, encoding="utf-8") as f:
-            for raw in f:
-                key, _, rest = raw.strip().replace("=", " ", 1).partition(" ")
-                if key.lower() == "include":
-                    for pattern in rest.split():
-                        p = os.path.expanduser(pattern)
-                        for one in sorted(glob.glob(p if os.path.isabs(p) else os.path.join(os.path.dirname(file), p))):
-                            out += read(one, level + 1)
-                else:
-                    out.append(raw.strip())
-        return out
+def _ssh_words(rest: str) -> list[str]:
+    """Words, those in double quotes whole; nothing is an escape."""
+    return [q or w for q, w in re.findall(r'"([^"]*)"|([^\s"]+)', rest)]
 
-    rows, hosts = [], ["*"]
-    for i, line in enumerate(read(path, 0)):
-        key, _, rest = line.replace("=", " ", 1).partition(" ")
-        if not key or key.startswith("#"):
+
+def _ssh_lines(file: str, level: int, depth: int) -> list[tuple[str, str]]:
+    """(key in small letters, rest) of each directive, those of included files in place; a file that isn't there has none."""
+    if level > depth:
+        raise ValueError(f"{file}: Include goes deeper than {depth}")
+    out: list[tuple[str, str]] = []
+    if not os.path.isfile(file):
+        return out
+    with open(file, encoding="utf-8-sig", errors="replace") as f:
+        found = [_DIRECTIVE.match(x.strip()) for x in f]
+    for m in filter(None, found):
+        key, rest = m[1].lower(), m[2].strip()
+        if key != "include":
+            out.append((key, rest))
             continue
-        if key.lower() == "host":
-            hosts = rest.split()
+        for pattern in _ssh_words(rest):
+            p = os.path.expanduser(pattern)
+            for one in sorted(glob.glob(p if os.path.isabs(p) else os.path.join(os.path.dirname(file), p))):
+                out += _ssh_lines(one, level + 1, depth)
+    return out
+
+
+def ssh_directives(spark: SparkSession, path: str, depth: int = 8) -> DataFrame:
+    """Rows (patterns, ord, key, value) of an ssh configuration, Include files read in place; deeper than `depth` is an error.
+
+    patterns are those of the Host line above, `*` before any; one with `!` in front excludes. Of Match lines only `all`, `host`
+    and `originalhost` have a meaning here, others are an error. A configuration is a few small files, so this runs in the driver.
+    """
+    rows, patterns = [], ["*"]
+    for i, (key, rest) in enumerate(_ssh_lines(path, 0, depth)):
+        if key == "host":
+            patterns = _ssh_words(rest)
+        elif key == "match":
+            kind, *names = _ssh_words(rest.lower() if rest.lower() == "all" else rest)
+            if kind.lower() not in ("all", "host", "originalhost"):
+                raise ValueError(f"{path}: Match {kind} isn't supported")
+            patterns = ["*"] if kind.lower() == "all" else [x for n in names for x in n.split(",")]
         else:
-            rows += [(h, i, key, rest.strip().strip('"')) for h in hosts]
-    return spark.createDataFrame(rows, "alias string, ord int, key string, value string")
+            value = rest[1:-1] if len(rest) > 1 and rest[0] == rest[-1] == '"' else rest
+            rows.append((patterns, i, key, value))
+    return spark.createDataFrame(rows, "patterns array<string>, ord int, key string, value string")

@@ -171,7 +171,7 @@ def test_configuration_files(spark, tmp_path):
         readers.manifest(spark, f"{tmp_path}/none.json")
     sinks._put(f"{tmp_path}/ssh", b"Include more*\nHost a\n  HostName h1\n")
     sinks._put(f"{tmp_path}/more1", b"Host a\n  User u\n")
-    assert [(r.alias, r.key, r.value) for r in readers.ssh_directives(spark, f"{tmp_path}/ssh").orderBy("ord").collect()] == [("a", "User", "u"), ("a", "HostName", "h1")]
+    assert [(r.patterns, r.key, r.value) for r in readers.ssh_directives(spark, f"{tmp_path}/ssh").orderBy("ord").collect()] == [(["a"], "user", "u"), (["a"], "hostname", "h1")]
     sinks._put(f"{tmp_path}/d.tsv", "﻿# c\nkind\tix\tix-r\tref_ix\tref_ixr\tnote\nlimit\ta\tb\tc\td\te\n".encode())
     assert readers.derived_rows(spark, f"{tmp_path}/d.tsv").first().note == "e"
     assert sinks.write_backup("a\n\n\n", f"{tmp_path}/b.conf") and (tmp_path / "b.conf").read_text() == "a\n"
