@@ -33,11 +33,16 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or where that is unset one of our own."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or where that is unset and all runs on one machine one of our own. With its scheme, so that Spark and Arrow mean the same place."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set; it must name a folder that the driver and all executors share")
         folder = f"file:///tmp/checkpoints/quire-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(folder)
+    if "://" not in folder and not folder.startswith("file:"):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        folder = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
     return folder.rstrip("/")
 
 

@@ -15,6 +15,7 @@ import math
 import pickle
 import random
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -96,11 +97,10 @@ def stretches(text: str) -> list[list[tuple[int, int]]]:
         bounds.append((lo, hi))
     floor = 0
     for a, b in bounds:
-        left, right = max(a - 200, floor), min(b + 200, len(text))
-        while a > left and not text[a - 1].isspace():
+        while a > floor and not text[a - 1].isspace():
             a -= 1
-        b = min(b, len(text))
-        while b < right and not text[b].isspace():
+        b = max(min(b, len(text)), floor)
+        while b < len(text) and not text[b].isspace():
             b += 1
         floor, a = b, max(a, floor)
         row: list[tuple[int, int]] = []
@@ -118,8 +118,12 @@ _SHAPES = ((re.compile(r"[0-9]+"), "9"), (re.compile(r"[^\W\d_]+"), "a"))
 _WORDS = {"tel": "phone", "phone": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "mail": "email", "email": "email", "e-mail": "email", "card": "card", "visa": "card", "ip": "ip", "host": "ip", "address": "ip"}
 
 
-@lru_cache(50_000)
 def features(span: str, before: str, tokens: int) -> tuple[str, ...]:
+    """Of the whole span, whatever its length; those of short ones are remembered."""
+    return _remembered(span, before, tokens) if len(span) + len(before) <= 120 else _features(span, before, tokens)
+
+
+def _features(span: str, before: str, tokens: int) -> tuple[str, ...]:
     digits = "".join(c for c in span if "0" <= c <= "9")
     letters = sum(c.isalpha() for c in span)
     shape = span
@@ -146,6 +150,29 @@ def features(span: str, before: str, tokens: int) -> tuple[str, ...]:
     return tuple(out)
 
 
+_remembered = lru_cache(50_000)(_features)
+
+
+def _cover(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what sorted spans cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, b in spans:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _meets(cover: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    """Does the span share a character with what is covered?"""
+    starts, ends = cover
+    k = bisect_right(ends, a)  # the first that ends behind a
+    return k < len(starts) and starts[k] < b
+
+
 class Field:
     """Weights by (type, feature) and (type, type); type -1 is outside."""
 
@@ -161,8 +188,6 @@ class Field:
             here = []
             for i in range(j, max(-1, j - LONGEST), -1):
                 a, b = row[i][0], end
-                if b - a > 60:
-                    break
                 while b > a + 1 and text[b - 1] in _TRAIL:
                     b -= 1
                 while a < b - 1 and text[a] in "[{*#":
@@ -234,14 +259,14 @@ class Field:
 
     def find(self, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Spans beside those taken."""
-        out = []
+        out, cover = [], _cover(taken)
         for row in stretches(text):
-            if taken and all(any(a < y and x < b for x, _, y in taken) for a, b in row if _CUE.search(text, a, b)):
+            if taken and all(_meets(cover, a, b) for a, b in row if _CUE.search(text, a, b)):
                 continue  # every cue lies in a base span
             for at in range(0, len(row), PIECE):  # bounded pieces of an endless stretch; a span belongs to the piece that its last token is in
                 first = max(0, at - BESIDE)
                 segs = self.segments(text, row[first : at + PIECE + BESIDE])
-                new = [x for x in self.best(segs) if at <= first + x[3] < at + PIECE and not any(x[0] < b and a < x[2] for a, _, b in taken) and not (out and x[0] < out[-1][2])]
+                new = [x for x in self.best(segs) if at <= first + x[3] < at + PIECE and not _meets(cover, x[0], x[2]) and not (out and x[0] < out[-1][2])]
                 if new:
                     sure = {(s[1], k, s[2]): p for _, k, p, s, _ in self.marginals(segs) if s is not None}
                     out += [x[:3] for x in new if sure.get(x[:3], 0.0) >= SURE]
@@ -383,7 +408,7 @@ def mask(text: str | None, found: list[tuple[int, int, int]]) -> str | None:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document the numbers of base spans, their digest, and all spans."""
+    """Per document the numbers of base spans, their digest, and all spans. Null and empty texts have none; repeated rows all come back; further columns are ignored."""
     out = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.col("base_spans"), 256).alias("base_sha256"), "spans")
 

@@ -11,16 +11,20 @@ these is kept from training to set the temperature of the probabilities.
 from __future__ import annotations
 
 import pickle
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import common, langid, words
 
 WORDS, DIMS, WINDOW = 1 << 14, 32, 2
-SLICES = 64
+#: Parts of the table that are added apart, and groups of tasks whose sums are added first.
+SLICES, GROUPS = 64, 16
 SAMPLE_MOST = 8_000
 #: Bytes of a text that are looked at at a time.
 CHUNK = 1 << 22
@@ -30,56 +34,72 @@ _PLUS = _random.integers(0, DIMS, WORDS)
 _MINUS = (_PLUS + _random.integers(1, DIMS, WORDS)) % DIMS
 
 
-def places(text: str | None) -> np.ndarray:
-    """The places of the text's words, in order."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    starts, ends = words.spans(data, words.CLASS)
-    return (words.hashes(data, starts, ends) & np.uint64(WORDS - 1)).astype(np.intp)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def places(text: str | None) -> Iterator[np.ndarray]:
+    """The places of the text's words, in order, in pieces of about CHUNK bytes."""
+    data, at = (text or "").encode("utf-8", "surrogatepass"), 0
+    while at < len(data):
+        m = _SPACE.search(data, at + CHUNK) if at + CHUNK < len(data) else None
+        piece = data[at : m.end() if m else len(data)]
+        at += len(piece)
+        starts, ends = words.spans(piece, words.CLASS)
+        yield (words.hashes(piece, starts, ends) & np.uint64(WORDS - 1)).astype(np.intp)
+
+
+def _count(total: np.ndarray, w: np.ndarray, known: int) -> None:
+    """Adds the words and neighbours of w, but for what its first `known` places have among themselves; places of -1 are gaps."""
+    new = w[known:]
+    total += np.bincount(new[new >= 0] * (DIMS + 1) + DIMS, minlength=len(total))
+    for step in range(1, WINDOW + 1):
+        first = max(0, known - step)
+        a, c = w[first : max(first, len(w) - step)], w[first + step :]
+        both = (a >= 0) & (c >= 0)
+        a, c = a[both], c[both]
+        for x, y in ((a, c), (c, a)):
+            total += np.bincount(x * (DIMS + 1) + _PLUS[y], minlength=len(total))
+            total -= np.bincount(x * (DIMS + 1) + _MINUS[y], minlength=len(total))
 
 
 def context(docs: DataFrame) -> np.ndarray:
-    """WORDS by DIMS + 1 whole numbers over all of docs.text: context sums, and in the last column the words' counts. A task gives out one row a slice."""
+    """WORDS by DIMS + 1 whole numbers over all of docs.text: context sums, and in the last column the words' counts. A task gives out one row a slice; sums are added in two steps, so that no task reads one of every other."""
 
     def run(batches):
         total = np.zeros(WORDS * (DIMS + 1), np.int64)
+        held, known, size = [], 0, 0
+        gap = np.full(WINDOW, -1)
         for b in batches:
-            texts = b.column(0).to_pylist()
-            at = 0
-            while at < len(texts):  # bounded runs of texts, with gaps that no window crosses
-                some, size = [], 0
-                while at < len(texts) and size < CHUNK:
-                    x = places(texts[at])
-                    some += [x, np.full(WINDOW, -1)]
+            for t in b.column(0).to_pylist():
+                for x in places(t):
+                    held.append(x)
                     size += len(x)
-                    at += 1
-                w = np.concatenate(some)
-                real = w >= 0
-                total += np.bincount(w[real] * (DIMS + 1) + DIMS, minlength=len(total))
-                for step in range(1, WINDOW + 1):
-                    a, c = w[:-step], w[step:]
-                    both = (a >= 0) & (c >= 0)
-                    a, c = a[both], c[both]
-                    for x, y in ((a, c), (c, a)):
-                        total += np.bincount(x * (DIMS + 1) + _PLUS[y], minlength=len(total))
-                        total -= np.bincount(x * (DIMS + 1) + _MINUS[y], minlength=len(total))
+                    if size >= CHUNK:
+                        w = np.concatenate(held)
+                        _count(total, w, known)
+                        held, known, size = [w[-WINDOW:]], min(WINDOW, len(w)), 0
+                held.append(gap)  # no window crosses it
+        if held:
+            _count(total, np.concatenate(held), known)
         if total.any():
             parts = total.reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "sums"])
+            group = TaskContext.get().partitionId() % GROUPS
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([group] * SLICES, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "part", "sums"])
 
     def add(batches):
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple, np.ndarray] = {}
         for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(x, np.int64)
+            for *k, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got, k = np.frombuffer(x, np.int64), tuple(k)
                 sums[k] = sums[k] + got if k in sums else got
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "part", "sums"])
 
     common.ready(docs.sparkSession)
-    kind = "slice int, sums binary"
-    got = docs.select("text").mapInArrow(run, kind).repartition("slice").mapInArrow(add, kind).toArrow()
+    kind = "slice int, part int, sums binary"
+    got = docs.select("text").mapInArrow(run, kind).repartition("slice", "part").mapInArrow(add, kind).withColumn("part", F.lit(0)).repartition("slice").mapInArrow(add, kind).toArrow()
     out = np.zeros((SLICES, WORDS * (DIMS + 1) // SLICES), np.int64)
-    for k, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
+    for k, x in zip(got.column(0).to_pylist(), got.column(2).to_pylist(), strict=True):
         out[k] += np.frombuffer(x, np.int64)
     return out.reshape(WORDS, DIMS + 1)
 
@@ -94,15 +114,16 @@ def vectors(sums: np.ndarray) -> np.ndarray:
 
 def pooled(text: str | None, table: np.ndarray) -> np.ndarray:
     """Mean and spread of the weighted vectors, and the mean weight; zeros for a text without words."""
-    w = places(text)
-    s, q, weight = np.zeros(DIMS), np.zeros(DIMS), 0.0
-    for at in range(0, len(w), 1 << 18):
-        x = table[w[at : at + (1 << 18)]]
-        v = x[:, :DIMS] * x[:, DIMS:]
-        s += v.sum(0, dtype=np.float64)
-        q += np.einsum("ij,ij->j", v, v, dtype=np.float64)
-        weight += x[:, DIMS].sum(dtype=np.float64)
-    n = max(len(w), 1)
+    s, q, weight, n = np.zeros(DIMS), np.zeros(DIMS), 0.0, 0
+    for w in places(text):
+        n += len(w)
+        for at in range(0, len(w), 1 << 18):
+            x = table[w[at : at + (1 << 18)]]
+            v = x[:, :DIMS] * x[:, DIMS:]
+            s += v.sum(0, dtype=np.float64)
+            q += np.einsum("ij,ij->j", v, v, dtype=np.float64)
+            weight += x[:, DIMS].sum(dtype=np.float64)
+    n = max(n, 1)
     mean = s / n
     return np.r_[mean, np.sqrt(np.maximum(q / n - mean**2, 0)), weight / n]
 
@@ -194,7 +215,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | None, float], text
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document its quality score; a null id counts as not held out and isn't learned from."""
+    """Per document its quality score; a null id counts as not held out and isn't learned from. Null texts count as empty and have a score; repeated rows all come back; further columns are ignored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(langid.may_learn())
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))

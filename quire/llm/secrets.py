@@ -112,6 +112,30 @@ def samples(docs: DataFrame) -> DataFrame:
     return random.unionByName(plain)
 
 
+def _clear(base: Column, more: Column) -> Column:
+    """All of base, and of more what overlaps none of it, sorted. Bounds to both sides are taken over blocks of BLOCK spans, so very many spans take no quadratic time."""
+    most = F.lit(2**31 - 1)
+
+    def of(q: Column) -> Column:
+        ends = F.transform(q, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(F.lit(0)))
+        starts = F.transform(q, lambda x: F.when(x["kind"] < 3, x["start"]).otherwise(most))
+        return let(F.struct(q.alias("q"), ends.alias("e"), starts.alias("s")), blocked)
+
+    def blocked(q: Column) -> Column:
+        many = F.floor((F.size(q["q"]) - 1) / BLOCK).cast("int")
+        sides = F.transform(F.sequence(F.lit(0), many), lambda b: F.struct(F.array_max(F.slice(q["e"], b * BLOCK + 1, F.lit(BLOCK))).alias("e"), F.array_min(F.slice(q["s"], b * BLOCK + 1, F.lit(BLOCK))).alias("s")))
+        around = lambda x: F.transform(x, lambda _, b: F.struct(F.coalesce(F.array_max(F.slice(x["e"], F.lit(1), b)), F.lit(0)).alias("e"), F.coalesce(F.array_min(F.slice(x["s"], b + 2, F.size(x))), most).alias("s")))
+        return let(sides, lambda x: let(around(x), lambda far: F.filter(F.transform(q["q"], lambda y, i: F.when((y["kind"] < 3) | alone(q, far, y, i), y)), lambda y: y.isNotNull())))
+
+    def alone(q: Column, far: Column, y: Column, i: Column) -> Column:
+        b = F.floor(i / BLOCK).cast("int")
+        ahead = F.greatest(F.get(far, b)["e"], F.coalesce(F.array_max(F.slice(q["e"], b * BLOCK + 1, i % BLOCK)), F.lit(0)))
+        behind = F.least(F.get(far, b)["s"], F.coalesce(F.array_min(F.slice(q["s"], i + 2, BLOCK - 1 - i % BLOCK)), most))
+        return (ahead <= y["start"]) & (behind >= y["end"])
+
+    return let(F.array_sort(F.concat(base, more)), of)
+
+
 def find(docs: DataFrame, model: Model, text: str = "text", out: str = "secrets") -> DataFrame:
     """Adds array<struct<start, kind, end>> (kind a place in KINDS), sorted. A null text has none; an existing column of that name is replaced, other columns pass through.
 
@@ -123,7 +147,7 @@ def find(docs: DataFrame, model: Model, text: str = "text", out: str = "secrets"
     base = F.array_sort(F.concat(*(F.coalesce(x, none) for x in (located(t, ASSIGN, 0, 2, 6), located(t, ACCESS, 1), located(t, HEX, 2)))))
     tokens = F.coalesce(F.filter(located(t, TOKEN, 3), lambda x: x["token"].rlike("[0-9]") & x["token"].rlike("[A-Za-z]") & (_score(x["token"], model.column()) > model.threshold)), none)
     bare = lambda a: F.transform(a, lambda x: F.struct(x["start"], x["kind"], x["end"]))
-    spans = F.when(F.size(b_) + F.size(m_) == 0, bare(none)).otherwise(let(F.col(b_), lambda b: F.array_sort(F.concat(bare(b), bare(F.filter(m_, lambda x: ~F.exists(b, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))))))))
+    spans = F.when(F.size(b_) + F.size(m_) == 0, bare(none)).when(F.size(m_) == 0, bare(F.col(b_))).otherwise(_clear(bare(F.col(b_)), bare(F.col(m_))))
     return docs.withColumns({b_: base, m_: tokens}).withColumn(out, spans).drop(b_, m_)
 
 
@@ -134,7 +158,7 @@ def listed(spans: Column) -> Column:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document the numbers of base spans, their digest, and all spans; documents whose text is null or empty have none."""
+    """Per document the numbers of base spans, their digest, and all spans; documents whose text is null or empty have none. Repeated rows all come back; further columns are ignored."""
     common.ready(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find(docs, train(samples(docs))).select("doc_id", "secrets", F.filter("secrets", lambda x: x["kind"] < 3).alias("base"))

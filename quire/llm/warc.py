@@ -48,9 +48,12 @@ def url_key(url: str | None) -> str:
 
 
 def _fs(path: str):
+    """Arrow's file system of a path with a scheme; `s3a` is its `s3`, `abfss` its own. One that Arrow can't open is an error at once, never another place."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    if "://" not in path and not path.startswith(("file:", "/")):
+        raise ValueError(f"{path}: a path with a scheme is needed")
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if path.startswith("s3a://") else path)
 
 
 class _Out:
