@@ -236,3 +236,11 @@ def page_list(spec: Column, pages: Column) -> Column:
     some = F.array_distinct(F.flatten(rows))
     ok = good & F.forall(part, lambda x: lo(x) <= hi(x))
     return F.when(trim(spec) == "", F.sequence(F.lit(1), pages)).when(ok, F.when(F.size(some) > 0, some))
+
+
+def relative_link(folder: Column, target: Column) -> Column:
+    """The way from a folder to a file, both relative to the same root and without `.` or `..`: up as often as needed, then down."""
+    a, b = (F.filter(F.split(x, "/"), lambda p: p != "") for x in (folder, target))
+    same = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1))), lambda n: (n <= F.size(a)) & (n < F.size(b)) & (F.slice(a, F.lit(1), n) == F.slice(b, F.lit(1), n))))
+    up = F.array_repeat(F.lit(".."), F.size(a) - same)
+    return F.array_join(F.concat(up, F.slice(b, same + 1, F.size(b))), "/")

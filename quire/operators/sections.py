@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.arrow import grouped
+from quire.operators import layout
+from quire.operators.arrow import grouped, mapped
 from quire.operators.html import is_layout
 
 _HEADING = re.compile(r"(■)?\s*([0-9０-９]+(?:[.．][0-9０-９]+)+)[\s　]+(\S.*?)\s*\Z")
@@ -76,6 +77,52 @@ class _Fold:
             self.prose(raw, page)
 
 
+def _page(glyphs: DataFrame, tables: DataFrame) -> DataFrame:
+    """Rows (doc, page, glyphs, tables): a page is a bounded group."""
+    a = glyphs.groupBy("doc", "page").agg(F.collect_list(F.struct("seq", "r", "left", "right", "top", "bottom", "space_before", "width")).alias("glyphs"))
+    b = tables.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("ord", "left", "right", "top", "bottom", "rows"))).alias("tables"))
+    return a.join(b, ["doc", "page"], "full")
+
+
+def _free(r: dict) -> list[dict]:
+    """The page's glyphs in none of its tables, in their order."""
+    mid = lambda g: ((g["left"] + g["right"]) / 2, (g["top"] + g["bottom"]) / 2)
+    inside = lambda g, t: t["left"] <= mid(g)[0] <= t["right"] and t["bottom"] <= mid(g)[1] <= t["top"]
+    return [g for g in sorted(r["glyphs"] or [], key=lambda g: g["seq"]) if not any(inside(g, t) for t in r["tables"] or [])]
+
+
+def placed_tables(glyphs: DataFrame, tables: DataFrame) -> DataFrame:
+    """page_tables() rows with nothing_above and nothing_below: no glyph of the body stands above or below the table."""
+
+    def of(r: dict) -> list[dict]:
+        y = [(g["top"] + g["bottom"]) / 2 for g in _free(r)]
+        return [{"doc": r["doc"], "page": r["page"], "ord": t["ord"], "nothing_above": not any(v > t["top"] for v in y), "nothing_below": not any(v < t["bottom"] for v in y)} for t in r["tables"] or []]
+
+    return tables.join(mapped(_page(glyphs, tables), of, "doc string, page int, ord int, nothing_above boolean, nothing_below boolean"), ["doc", "page", "ord"])
+
+
+def page_lines(glyphs: DataFrame, tables: DataFrame) -> DataFrame:
+    """Rows (doc, page, line_no, line, rows) of pages in reading order: text from above each table, then a row that holds its cells, then the rest."""
+
+    def of(r: dict) -> list[dict]:
+        left, out = _free(r), []
+
+        def text(some: list[dict]) -> None:
+            out.extend((x, None) for x in layout.render(some).rstrip("\n").split("\n"))
+
+        for t in sorted(r["tables"] or [], key=lambda t: (-t["top"], t["left"])):
+            above = [g for g in left if (g["top"] + g["bottom"]) / 2 > t["top"]]
+            if above:
+                text(above)
+            left = [g for g in left if (g["top"] + g["bottom"]) / 2 <= t["top"]]
+            out.append(("", t["rows"]))
+        if left:
+            text(left)
+        return [{"doc": r["doc"], "page": r["page"], "line_no": i + 1, "line": x, "rows": rows} for i, (x, rows) in enumerate(out)]
+
+    return mapped(_page(glyphs, tables), of, "doc string, page int, line_no int, line string, rows array<array<string>>")
+
+
 _BLOCK = "struct<kind:string,page:int,lines:array<string>,rows:array<array<string>>>"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quire.functions import commands as C
 from quire.functions import text as T
 from quire.operators import lines as L
 from quire.plans.relations import Relation, table
@@ -251,12 +252,35 @@ def chapter_title_pages(spark, sf):
     return L.chapter_titles(PRINTED.df(spark), "book")
 
 
+LINKS = Relation("folder string, target string", [("ch01-a", "ch01-a/x.md"), ("ch01-a", "ch02-b/y.md"), ("", "z/q.md"), ("a/b/c", "a/d.md"), ("a/b", "a/b"), ("x", "f.md"), ("/a//b/", "a/b/c/d.md")])
+
+
+def relative_links(spark, sf):
+    return LINKS.df(spark).select("folder", "target", T.relative_link(F.col("folder"), F.col("target")).alias("link"))
+
+
+def field_rules(spark, sf):
+    """Lines of all documents: those that say a field is empty, with a prefix before each line of their text, and kinds of difference titles."""
+    d = table(spark, sf, "documents").where("text is not null")
+    last = F.substring_index("text", "\n", -1)
+    own = d.select("doc_id", F.array(F.when(F.col("doc_id") % 5 == 0, F.lit(" 特になし ")).when(F.col("doc_id") % 5 == 1, F.lit("-")).otherwise(last)).alias("l"), F.concat(F.element_at(F.array(*(F.lit(w) for w, _ in C.DIFFERENCE_KINDS), F.lit("x")), (F.col("doc_id") % (len(C.DIFFERENCE_KINDS) + 1) + 1).cast("int")), F.lit(" "), last).alias("title"), "text")
+    return own.select("doc_id", T.is_empty_field(F.col("l")).alias("empty"), C.difference_kind(F.col("title")).alias("kind"), F.sha2(T.prefix_lines(F.col("text"), "> "), 256).alias("digest"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (collapse_text, line_kind_counts, interior_gap_max, logical_lines, logical_lines_japanese, render_body_state, table_blank_collapse, dedent_lines, heading_line_numbers, section_first_seen, chapter_last_wins, header_fill_down, version_token_match, font_mode, upper_median_gap, name_functions, page_functions, source_refs, manifest_checks, page_spec, empty_band, column_match, defaults, spacing, page_entries, chapter_title_pages)
+    for f in (relative_links, field_rules, collapse_text, line_kind_counts, interior_gap_max, logical_lines, logical_lines_japanese, render_body_state, table_blank_collapse, dedent_lines, heading_line_numbers, section_first_seen, chapter_last_wins, header_fill_down, version_token_match, font_mode, upper_median_gap, name_functions, page_functions, source_refs, manifest_checks, page_spec, empty_band, column_match, defaults, spacing, page_entries, chapter_title_pages)
 }
 
+_KINDS = C.DIFFERENCE_KINDS
 ORACLE_SQL = {
+    "relative_links": f"""with t as (select *, list_filter(string_split(folder, '/'), lambda p: p <> '') a, list_filter(string_split(target, '/'), lambda p: p <> '') b from {LINKS.sql()}),
+s as (select *, len(list_filter(range(1, len(a) + 1), lambda n: n < len(b) and a[1:n] = b[1:n])) same from t)
+select folder, target, repeat('../', (len(a) - same)::int) || array_to_string(b[same + 1:], '/') link from s""",
+    "field_rules": f"""with t as (select doc_id, text, string_split(text, chr(10))[-1] last from documents where text is not null),
+u as (select *, case doc_id % 5 when 0 then ' 特になし ' when 1 then '-' else last end l, [{', '.join(f"'{w}'" for w, _ in _KINDS)}, 'x'][(doc_id % {len(_KINDS) + 1} + 1)::int] || ' ' || last title from t)
+select doc_id, {_trim('l')} in ({', '.join(f"'{x}'" for x in T.EMPTY_FIELDS)}) empty, case {' '.join(f"when contains(title, '{w}') then '{k}'" for w, k in _KINDS)} end kind,
+sha256(array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: case when i = len(string_split(text, chr(10))) and x = '' then '' else '> ' || x end), chr(10))) digest from u""",
     "collapse_text": f"select doc_id, sha256({_collapse('text')}) digest, length({_collapse('text')})::bigint n from documents where text is not null",
     "line_kind_counts": f"""with l as (select line from ({_lines}) union all select line from {LINES.sql()}), r as (select {_RULE} rule from l)
 select rule, case when rule in ('gap', 'foreign', 'short') then 'layout' when rule = 'blank' then 'blank' else 'prose' end kind, count(*) n from r group by all""",
