@@ -75,11 +75,11 @@ m as (select w.id, h.command, h.source, h.ord, least(len(w.k), len(h.k)) n from
   where len(w.k) > 0 and len(h.k) > 0 and list_slice(w.k, 1, least(len(w.k), len(h.k))) = list_slice(h.k, 1, least(len(w.k), len(h.k))) and (len(w.k) = len(h.k) or least(len(w.k), len(h.k)) >= 2)),
 r as (select *, row_number() over (partition by id order by n desc, ord) p from m)"""
 
-ALTERNATIVES = Relation("id int, s string", [(1, "[ ip | ipv6 ] ufs-cache enable"), (2, "{ a | b } x [ c | d ]"), (3, "[ NAME | all ] y"), (4, "plain"), (5, "show [ip | ipv6 | all]")])
+ALTERNATIVES = Relation("id int, s string", [(1, "[ ip | ipv6 ] ufs-cache enable"), (2, "{ a | b } x [ c | d ]"), (3, "[ NAME | all ] y"), (4, "plain"), (5, "show [ip | ipv6 | all]")], ("part", ["cast(100 + p_partkey as int)", "concat('[ ', replace(lower(p_name), ' ', ' | '), ' ] { a | b } ', p_size)"], "select (100 + p_partkey)::int, '[ ' || replace(lower(p_name), ' ', ' | ') || ' ] { a | b } ' || p_size from part"))
 
 
 def expand_alternatives(spark, sf):
-    return ALTERNATIVES.df(spark).select("id", F.posexplode(C.open_alternatives(F.col("s"))).alias("i", "command"))
+    return ALTERNATIVES.df(spark, sf).select("id", F.posexplode(C.open_alternatives(F.col("s"))).alias("i", "command"))
 
 
 CELLS = Relation(
@@ -144,12 +144,11 @@ def name_mapping(spark, sf):
 OUTPUTS = Relation(
     "id int, op string, command string, output string",
     [(i, "show", c, o) for i, (c, o) in enumerate([
-        ("ip route x", "% ip route x -- 不正な入力"), ("ip route x", "% Invalid input"), ("a", "ok\n % unable to open"), ("copy a", "% Saved configuration"), ("save", "%CONFIG process is occupied."), ("x.y", "% xzy -- nothing"), ("x.y", "% X.Y -- what"), ("show", "% can't do"), ("show", "% errors: 0"), ("show", "no percent error"), ("", "% -- x"), ("a(b", "  %  a(b --  z"), ("s", "% was not permitted")])],
-)
+        ("ip route x", "% ip route x -- 不正な入力"), ("ip route x", "% Invalid input"), ("a", "ok\n % unable to open"), ("copy a", "% Saved configuration"), ("save", "%CONFIG process is occupied."), ("x.y", "% xzy -- nothing"), ("x.y", "% X.Y -- what"), ("show", "% can't do"), ("show", "% errors: 0"), ("show", "no percent error"), ("", "% -- x"), ("a(b", "  %  a(b --  z"), ("s", "% was not permitted")])], ("conversations", ["cast(100 + conv_id * 1000 + turn as int)", "'show'", "split_part(coalesce(text, ''), ' ', 1)", "concat('% ', coalesce(text, ''))"], "select (100 + conv_id * 1000 + turn)::int, 'show', split_part(coalesce(text, ''), ' ', 1), '% ' || coalesce(text, '') from conversations"))
 
 
 def diagnostic_status(spark, sf):
-    return OUTPUTS.df(spark).select("id", C.output_status(F.col("command"), F.col("output")).alias("status"))
+    return OUTPUTS.df(spark, sf).select("id", C.output_status(F.col("command"), F.col("output")).alias("status"))
 
 
 _ERROR = r"""(trim(command) <> '' and regexp_matches(output, '(?im)^[ \t]*%[ \t]*' || regexp_replace(trim(command), '([\\.\[\]{}()*+?^$|\-])', '\\\1', 'g') || '[ \t]+--[ \t]*\S')) or regexp_matches(output, '(?im)^[ \t]*%[^\r\n]*\b(?:WORDS)\b')""".replace("WORDS", "|".join(C.FAILURE_WORDS).replace("'", "''"))
@@ -183,12 +182,11 @@ def backup_names(spark, sf):
 
 TRANSCRIPT = Relation(
     "session string, seq int, op string, command string, output string",
-    [("a", 1, "show", "show x", "fine"), ("a", 2, "backup", "show running-config", "text"), ("a", 3, "config", "ip q", "% ip q -- bad"), ("a", 4, "config", "ip r", ""), ("a", 5, "save", "write", ""), ("b", 1, "show", "show y", "% CONFIG process is occupied."), ("b", 2, "save", "write", "ok"), ("c", 1, "config", "x", "% saved"), ("c", 2, "save", "write", "%CONFIG process is occupied.")],
-)
+    [("a", 1, "show", "show x", "fine"), ("a", 2, "backup", "show running-config", "text"), ("a", 3, "config", "ip q", "% ip q -- bad"), ("a", 4, "config", "ip r", ""), ("a", 5, "save", "write", ""), ("b", 1, "show", "show y", "% CONFIG process is occupied."), ("b", 2, "save", "write", "ok"), ("c", 1, "config", "x", "% saved"), ("c", 2, "save", "write", "%CONFIG process is occupied.")], ("conversations", ["concat('c', conv_id)", "cast(turn as int)", "if(role = 'user', 'config', 'show')", "split_part(coalesce(text, ''), ' ', 1)", "if(conv_id % 3 = 0, concat('% ', text, ' failed'), coalesce(text, ''))"], "select 'c' || conv_id, turn::int, case when role = 'user' then 'config' else 'show' end, split_part(coalesce(text, ''), ' ', 1), case when conv_id % 3 = 0 then '% ' || text || ' failed' else coalesce(text, '') end from conversations"))
 
 
 def transcript_status(spark, sf):
-    return D.executed(TRANSCRIPT.df(spark)).select("session", "seq", "op", "status", F.when(F.col("status") == "failed", C.stopped_at(F.col("seq"), F.lit(5))).alias("message"))
+    return D.executed(TRANSCRIPT.df(spark, sf)).select("session", "seq", "op", "status", F.when(F.col("status") == "failed", C.stopped_at(F.col("seq"), F.lit(5))).alias("message"))
 
 
 DEVICES = Relation("name string, host string, hostname string, username string, user string, port string, password string, password_env string", [("r1", "192.0.2.1", "", "admin", "", "2222", "pw", ""), ("r2", "", "edge", "", "op", "", "", "R2_PASS"), ("r3", "", "", "", "", "x", "", ""), ("r4", "h4", "", "", "", "", "", "NONE")])
@@ -224,11 +222,11 @@ def jump_routes(spark, sf):
     return D.jump_routes(spark, HOSTS.df(spark))
 
 
-HOPS = Relation("spec string", [("me@host:22",), ("host",), ("a@b@h",), ("::1",), ("h:",), ("h:x",), ("u@",), ("h:70000",)])
+HOPS = Relation("spec string", [("me@host:22",), ("host",), ("a@b@h",), ("::1",), ("h:",), ("h:x",), ("u@",), ("h:70000",)], ("supplier", ["concat(if(s_suppkey % 3 = 0, '', 'me@'), 'h', s_suppkey, ':', s_suppkey * 131 % 70000)"], "select (case when s_suppkey % 3 = 0 then '' else 'me@' end) || 'h' || s_suppkey || ':' || s_suppkey * 131 % 70000 from supplier"))
 
 
 def hop_parts(spark, sf):
-    return HOPS.df(spark).select("spec", D.split_hop(F.col("spec")).alias("h")).select("spec", "h.*")
+    return HOPS.df(spark, sf).select("spec", D.split_hop(F.col("spec")).alias("h")).select("spec", "h.*")
 
 
 DIRECTIVES = Relation(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import commands as C
 from quire.functions import text as T
 from quire.operators import lines as L
-from quire.plans.relations import Relation, table
+from quire.plans.relations import DOCUMENT_LINES, Relation, table
 
 WS = T.SPACE
 _trim = lambda c: f"regexp_replace({c}, '^{WS}+|{WS}+\\z', '', 'g')"
@@ -65,12 +65,11 @@ WRAPPED = Relation(
     [
         ("a", 1, "最大レ"), ("a", 2, "コード数は"), ("a", 3, "abc"), ("a", 4, "def である。"), ("a", 5, "次の文"), ("a", 6, ""), ("a", 7, "NAME．．．引数"), ("a", 8, "の説明"), ("a", 9, "• 補足 one"), ("a", 10, "two"), ("a", 11, "※1 脚注"),
         ("b", 1, ""), ("b", 2, "  indented"), ("b", 3, "word"), ("b", 4, "end!"), ("b", 5, ""), ("b", 6, ""), ("b", 7, "last"), ("b", 8, "・項目"), ("b", 9, "地の文。"), ("b", 10, "<VLAN 番号>:<port> を書く"),
-    ],
-)
+    ], ("lines", ["concat('d', doc_id)", "cast(line_no as int)", "line"], f"select 'd' || doc_id, line_no::int, line from ({DOCUMENT_LINES})"))
 
 
 def logical_lines_japanese(spark, sf):
-    return L.logical_lines(WRAPPED.df(spark), ["doc"]).select("doc", F.col("unit").cast("long").alias("unit"), "text")
+    return L.logical_lines(WRAPPED.df(spark, sf), ["doc"]).select("doc", F.col("unit").cast("long").alias("unit"), "text")
 
 
 def _units(source: str, key: str) -> str:
@@ -85,7 +84,7 @@ r as (select {key}, unit::bigint unit, string_agg(piece, '' order by line_no) te
 
 def render_body_state(spark, sf):
     """Joined lines as Markdown lists and prose."""
-    units = L.logical_lines(WRAPPED.df(spark), ["doc"])
+    units = L.logical_lines(WRAPPED.df(spark, sf), ["doc"])
     return L.rendered_body(units, ["doc"]).select("doc", F.col("unit").cast("long").alias("unit"), "out")
 
 
@@ -98,18 +97,18 @@ select doc, unit, (case when (k = 't') = inlist then chr(10) else '' end) || (ca
   || regexp_replace(body, '((?:[!-;=?-_a-~]|<[^\\s<>](?:[^<>\\n]{{0,38}}[^\\s<>])?>)*<[^\\s<>](?:[^<>\\n]{{0,38}}[^\\s<>])?>(?:[!-;=?-_a-~]|<[^\\s<>](?:[^<>\\n]{{0,38}}[^\\s<>])?>)*)', '`\\1`', 'g') || chr(10) as out from m"""
 )
 
-BLANKS = Relation("doc string, line_no int, line string", [("a", i + 1, x) for i, x in enumerate(["", "x", "", "y", "", "　", "z", " ", "\t", "", "w", ""])] + [("b", i + 1, x) for i, x in enumerate(["", "", "q"])])
+BLANKS = Relation("doc string, line_no int, line string", [("a", i + 1, x) for i, x in enumerate(["", "x", "", "y", "", "　", "z", " ", "\t", "", "w", ""])] + [("b", i + 1, x) for i, x in enumerate(["", "", "q"])], ("lines", ["concat('d', doc_id)", "cast(line_no as int)", "line"], f"select 'd' || doc_id, line_no::int, line from ({DOCUMENT_LINES})"))
 
 
 def table_blank_collapse(spark, sf):
-    return L.fold_blanks(BLANKS.df(spark), ["doc"])
+    return L.fold_blanks(BLANKS.df(spark, sf), ["doc"])
 
 
-INDENTED = Relation("doc string, line_no int, line string", [("a", 1, "    ip route"), ("a", 2, "      more"), ("a", 3, "　"), ("a", 4, "    "), ("a", 5, "     x"), ("b", 1, "none"), ("b", 2, "  two"), ("c", 1, " "), ("c", 2, "")])
+INDENTED = Relation("doc string, line_no int, line string", [("a", 1, "    ip route"), ("a", 2, "      more"), ("a", 3, "　"), ("a", 4, "    "), ("a", 5, "     x"), ("b", 1, "none"), ("b", 2, "  two"), ("c", 1, " "), ("c", 2, "")], ("lines", ["concat('d', doc_id)", "cast(line_no as int)", "line"], f"select 'd' || doc_id, line_no::int, line from ({DOCUMENT_LINES})"))
 
 
 def dedent_lines(spark, sf):
-    t = INDENTED.df(spark).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).getField("line").alias("lines"))
+    t = INDENTED.df(spark, sf).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).getField("line").alias("lines"))
     return t.select("doc", F.posexplode(T.dedent(F.col("lines"))).alias("i", "line"))
 
 
@@ -134,12 +133,11 @@ def header_fill_down(spark, sf):
 
 TITLES = Relation(
     "title string, version string",
-    [(t, v) for t in ("Guide 1.5a版", "Guide 1.5ab", "Guide 11.5a", "Guide 1.5a.1", "v1.5a-beta 1.5a+build", "(1.5a) and 2.0", "") for v in ("1.5a", "2.0", "beta")],
-)
+    [(t, v) for t in ("Guide 1.5a版", "Guide 1.5ab", "Guide 11.5a", "Guide 1.5a.1", "v1.5a-beta 1.5a+build", "(1.5a) and 2.0", "") for v in ("1.5a", "2.0", "beta")], ("part", ["concat(p_name, ' (', p_size, '.', p_partkey % 7, ') ', p_brand)", "concat(p_size, '.', p_partkey % 5)"], "select p_name || ' (' || p_size || '.' || p_partkey % 7 || ') ' || p_brand, p_size || '.' || p_partkey % 5 from part"))
 
 
 def version_token_match(spark, sf):
-    return TITLES.df(spark).select("title", "version", T.matches_version(F.col("title"), F.col("version")).alias("ok"))
+    return TITLES.df(spark, sf).select("title", "version", T.matches_version(F.col("title"), F.col("version")).alias("ok"))
 
 
 def font_mode(spark, sf):
@@ -156,31 +154,31 @@ def upper_median_gap(spark, sf):
     return L.upper_median(e, ["user_id"], "gap")
 
 
-NAMES = Relation("s string", [("A/B",), ("A:B",), (" . ",), ("IPv4 パケットフィルタ",), ("x" * 70,), ("a|b?c*",), ("..dots..",), ("",)])
+NAMES = Relation("s string", [("A/B",), ("A:B",), (" . ",), ("IPv4 パケットフィルタ",), ("x" * 70,), ("a|b?c*",), ("..dots..",), ("",)], ("lines", ["line"], f"select line from ({DOCUMENT_LINES})"))
 
 
 def name_functions(spark, sf):
     s = F.col("s")
-    return NAMES.df(spark).select("s", T.safe_name(s).alias("name"), T.link_target(s).alias("link"), T.tsv_cell(F.concat(s, F.lit("\tq\nr "))).alias("cell"), T.chapter_folder(F.length(s), s).alias("folder"), T.table_cell(F.concat(s, F.lit("&<b>\\|\n"))).alias("gfm"))
+    return NAMES.df(spark, sf).select("s", T.safe_name(s).alias("name"), T.link_target(s).alias("link"), T.tsv_cell(F.concat(s, F.lit("\tq\nr "))).alias("cell"), T.chapter_folder(F.length(s), s).alias("folder"), T.table_cell(F.concat(s, F.lit("&<b>\\|\n"))).alias("gfm"))
 
 
 _SAFE = f"""case when regexp_replace(regexp_replace({_trim('s')}, '[<>:"/\\\\|?*\\x{{00}}-\\x{{1F}}]', '-', 'g'), '^[ .]+|[ .]+\\z', '', 'g') = '' then '無題'
  else substr(regexp_replace(regexp_replace({_trim('s')}, '[<>:"/\\\\|?*\\x{{00}}-\\x{{1F}}]', '-', 'g'), '^[ .]+|[ .]+\\z', '', 'g'), 1, 60) end"""
 
-FOOTERS = Relation("s string", [("2-13 ルータの設定",), ("ルータの設定　 10-2",), ("no number",), ("a 1-2 b 3-4",), ("",)])
+FOOTERS = Relation("s string", [("2-13 ルータの設定",), ("ルータの設定　 10-2",), ("no number",), ("a 1-2 b 3-4",), ("",)], ("customer", ["concat(c_name, ' ', c_custkey, '-', c_nationkey)"], "select c_name || ' ' || c_custkey || '-' || c_nationkey from customer"))
 
 
 def page_functions(spark, sf):
     s = F.col("s")
     f, h = T.footer_section(s), T.running_header(s, " ")
-    return FOOTERS.df(spark).select("s", f["section"].alias("section"), f["printed"].alias("printed"), T.chapter_of(f["printed"]).alias("chapter"), T.first_token(s).alias("token"), h["chapter"].alias("head"), h["section"].alias("tail"), T.heading_number(F.concat(s, F.lit("２．１０"))).alias("ascii"), T.text_key(s).alias("key"))
+    return FOOTERS.df(spark, sf).select("s", f["section"].alias("section"), f["printed"].alias("printed"), T.chapter_of(f["printed"]).alias("chapter"), T.first_token(s).alias("token"), h["chapter"].alias("head"), h["section"].alias("tail"), T.heading_number(F.concat(s, F.lit("２．１０"))).alias("ascii"), T.text_key(s).alias("key"))
 
 
-REFS = Relation("path string, anchor string, page int", [("", "", 0), ("", "", 1057), ("cli/a.html", "enable", 0), ("cli/a.html", "", 7)])
+REFS = Relation("path string, anchor string, page int", [("", "", 0), ("", "", 1057), ("cli/a.html", "enable", 0), ("cli/a.html", "", 7)], ("pages", ["url", "if(page_id % 2 = 0, 'a', '')", "cast(page_id % 50 as int)"], "select url, case when page_id % 2 = 0 then 'a' else '' end, (page_id % 50)::int from pages"))
 
 
 def source_refs(spark, sf):
-    return REFS.df(spark).select("*", T.source_ref(F.col("path"), F.col("anchor"), F.col("page")).alias("ref"))
+    return REFS.df(spark, sf).select("*", T.source_ref(F.col("path"), F.col("anchor"), F.col("page")).alias("ref"))
 
 
 BOOKS = Relation("series string, book string", [(s, b) for s in ("one", "two", "") for b in ("crm", "fd", "ex", "slog", "", "guide")])
@@ -215,12 +213,12 @@ def column_match(spark, sf):
     return t.select("doc_id", T.columns_match(F.col("l"), F.col("r"), F.col("n")).alias("ok"))
 
 
-NUMBERS = Relation("s string", [("3",), ("0",), (" 7 ",), ("x",), ("",), ("-2",), ("99999999999",)])
+NUMBERS = Relation("s string", [("3",), ("0",), (" 7 ",), ("x",), ("",), ("-2",), ("99999999999",)], ("orders", ["if(o_orderkey % 3 = 0, o_orderpriority, concat(' ', o_orderkey))"], "select case when o_orderkey % 3 = 0 then o_orderpriority else ' ' || o_orderkey end from orders"))
 
 
 def defaults(spark, sf):
     s = F.col("s")
-    return NUMBERS.df(spark).select("s", T.or_default(s, "int", 1, 1).alias("span"), T.or_default(s, "double", 0.0).alias("coordinate"), T.columns_wide(F.concat(s, F.lit("漢字ab"))).cast("long").alias("columns"))
+    return NUMBERS.df(spark, sf).select("s", T.or_default(s, "int", 1, 1).alias("span"), T.or_default(s, "double", 0.0).alias("coordinate"), T.columns_wide(F.concat(s, F.lit("漢字ab"))).cast("long").alias("columns"))
 
 
 def spacing(spark, sf):
