@@ -213,7 +213,7 @@ def lookup(directory: DataFrame, keys: DataFrame) -> DataFrame:
     """All captures (rows of _INDEX) of the keys in keys.key, each capture once; null keys find nothing.
 
     The directory goes to the executors in slices of at most common.BROADCAST_LIMIT, in order of its keys, one search a
-    slice; one slice holds hundreds of millions of captures. A key's blocks are listed first and dealt
+    slice; one slice holds about 80 million captures. A key's blocks are listed first and dealt
     by block, so a key with very many captures is read by many tasks.
     """
     spark = common.ready(directory.sparkSession)
