@@ -1,6 +1,6 @@
 """Text expressions: white space, line classes, Markdown and TSV encodings.
 
-All are built-in functions and stay in generated code. Patterns are written so that Java's engine and RE2 read them alike: no
+All are built-in functions; those over arrays (transform, filter, aggregate) run outside generated code, but in the JVM. Patterns are written so that Java's engine and RE2 read them alike: no
 look-around, `\\z` for the very end, code points as \\x{...}.
 """
 
@@ -133,6 +133,7 @@ def joiner(before: Column, after: Column) -> Column:
     return F.when(before.rlike(r"[A-Za-z0-9]\z") & after.rlike("^[A-Za-z0-9]"), F.lit(" ")).otherwise(F.lit(""))
 
 
+# A variable in angle brackets, and the characters that make one run with it.
 _GROUP = r"<[^\s<>](?:[^<>\n]{0,38}[^\s<>])?>"
 _GLUE = r"[!-;=?-_a-~]"
 

@@ -394,7 +394,8 @@ def spread_cells(cells: DataFrame, table: str) -> DataFrame:
 
 # ---- figures ----
 
-_MATRIX = re.compile(r"matrix\(\s*" + r"\s+".join([r"([-\d.eE+]+)"] * 6) + r"\s*\)")
+# Fixed value: a transform of six numbers.
+_MATRIX = re.compile(r"matrix\(\s*([-\d.eE+]+)\s+([-\d.eE+]+)\s+([-\d.eE+]+)\s+([-\d.eE+]+)\s+([-\d.eE+]+)\s+([-\d.eE+]+)\s*\)")
 
 
 def _number(s: str | None, default: float = 0.0) -> float:

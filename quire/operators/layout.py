@@ -6,6 +6,7 @@ Cuts and statistics are DataFrame filters and aggregations; the order-dependent
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,14 @@ from quire.operators.lines import mode
 WIDE = ((0x1100, 0x115F), (0x2E80, 0xA4CF), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0xFE30, 0xFE6F), (0xFF00, 0xFF60), (0xFFE0, 0xFFE6))
 PUNCTUATION = ((0x3000, 0x303F), (0xFF01, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
 COLUMN = 4.8
+# Numbered headings, and the leaders of tables of contents.
+HEADING = re.compile(r"(■)?\s*([0-9０-９]+(?:[.．][0-9０-９]+)+)[\s　]+(\S.*?)\s*\Z")
+LEADER = re.compile(r"(?:[.·．・][\s　]*){6,}")
+# Shares by which a glyph overlaps its line, a flat glyph is high and lies near; wide steps that settle a page's and a line's
+# unit; shares of a unit that part words, of a glyph's height that a unit has at least, and up to which words stay one column apart.
+OVERLAP, FLAT, NEAR_FLAT = 0.35, 0.35, -0.25
+PAGE_STEPS, LINE_STEPS = 20, 3
+GAP, LEAST_UNIT, CLOSE = 0.9, 0.55, 1.8
 
 
 # ---- cuts ----
@@ -85,7 +94,7 @@ class Line:
         """Enough overlap, or a flat glyph such as a dash near the line."""
         high, own = self.top - self.bottom, g["top"] - g["bottom"]
         overlap = min(self.top, g["top"]) - max(self.bottom, g["bottom"])
-        return overlap > 0.35 * min(high, own) or (own < 0.35 * high and overlap > -0.25 * high)
+        return overlap > OVERLAP * min(high, own) or (own < FLAT * high and overlap > NEAR_FLAT * high)
 
 
 def _in(r: str, ranges) -> bool:
@@ -122,7 +131,7 @@ def page_unit(lines: list[Line]) -> float:
     """The width of a narrow column: half the usual step between wide characters, or the usual step of any."""
     steps = [(a, b, d) for x in lines for a, b, d in _steps(x) if 0.5 < d <= 40]
     wide = [d for a, b, d in steps if columns(a["r"]) == columns(b["r"]) == 2]
-    if len(wide) >= 20:
+    if len(wide) >= PAGE_STEPS:
         return _upper(wide) / 2
     unit = _upper([d for *_, d in steps]) if steps else COLUMN
     return unit if unit >= 1 else COLUMN
@@ -130,15 +139,15 @@ def page_unit(lines: list[Line]) -> float:
 
 def line_unit(line: Line, unit: float) -> float:
     wide = [d for a, b, d in _steps(line) if columns(a["r"]) == columns(b["r"]) == 2 and 0.5 < d < 40]
-    if len(wide) >= 3:
+    if len(wide) >= LINE_STEPS:
         return _upper(wide) / 2
-    return max(unit, 0.55 * max(g["top"] - g["bottom"] for g in line.glyphs))
+    return max(unit, LEAST_UNIT * max(g["top"] - g["bottom"] for g in line.glyphs))
 
 
 def words_of(line: Line, unit: float) -> list[list[dict]]:
     out = [[line.glyphs[0]]]
     for a, b, d in _steps(line):
-        gap = d - max(columns(a["r"]) * unit, a["right"] - a["left"]) > 0.9 * unit and not (_in(a["r"], PUNCTUATION) or _in(b["r"], PUNCTUATION))
+        gap = d - max(columns(a["r"]) * unit, a["right"] - a["left"]) > GAP * unit and not (_in(a["r"], PUNCTUATION) or _in(b["r"], PUNCTUATION))
         if b.get("space_before") or gap:
             out.append([b])
         else:
@@ -171,7 +180,7 @@ def _on_grid(line: Line, origin: float, unit: float, own: float, start: int) ->
     out, at, end = " " * start, start, 0.0
     for i, word in enumerate(words_of(line, own)):
         if i:
-            near = word[0]["left"] - end <= own * 1.8
+            near = word[0]["left"] - end <= own * CLOSE
             pad = 1 if near else max(_round((word[0]["left"] - origin) / unit), at + 1) - at
             out, at = out + " " * pad, at + pad
         out += "".join(g["r"] for g in word)
@@ -276,18 +285,13 @@ def command_pages(glyphs: DataFrame, profile: dict) -> DataFrame:
 
 def heading_lines(glyphs: DataFrame, size: DataFrame, least: float = 0.0) -> DataFrame:
     """Rows (doc, page, key) of lines that look like numbered headings and whose first digit is larger than the body and `least`."""
-    import re
-
-    number = re.compile(r"(■)?\s*[0-9０-９]+(?:[.．][0-9０-９]+)+[\s　]+\S")
-    leader = re.compile(r"(?:[.·．・][\s　]*){6,}")
-
     def of(g: list[dict]) -> list[dict]:
         lines = lines_of(sorted(g, key=lambda x: x["seq"]))
         unit, out = page_unit(lines), []
         for x in lines:
             s = flow(x, line_unit(x, unit))
             digit = next((k for k in x.glyphs if k["r"] in "0123456789０１２３４５６７８９"), None)
-            if number.match(s) and not leader.search(s) and digit and digit["body"] > 0 and digit["size"] > digit["body"] * 1.02 and digit["size"] >= least:
+            if HEADING.match(s) and not LEADER.search(s) and digit and digit["body"] > 0 and digit["size"] > digit["body"] * 1.02 and digit["size"] >= least:
                 out.append({"doc": g[0]["doc"], "page": g[0]["page"], "key": "".join(s.split())})
         return out
 

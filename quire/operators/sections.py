@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +9,6 @@ from quire.operators import layout
 from quire.operators.arrow import grouped, mapped
 from quire.operators.html import is_layout
 
-_HEADING = re.compile(r"(■)?\s*([0-9０-９]+(?:[.．][0-9０-９]+)+)[\s　]+(\S.*?)\s*\Z")
-_LEADER = re.compile(r"(?:[.·．・][\s　]*){6,}")
 _ASCII = str.maketrans("０１２３４５６７８９．", "0123456789.")
 
 
@@ -48,9 +44,9 @@ class _Fold:
     def line(self, r: dict) -> None:
         raw, page = r["line"], r["page"]
         t = raw.strip()
-        if _LEADER.search(raw):
+        if layout.LEADER.search(raw):
             return
-        m = _HEADING.match(t)
+        m = layout.HEADING.match(t)
         if m:
             number = m[2].translate(_ASCII)
             chapter = int(number.split(".")[0])
