@@ -13,7 +13,7 @@ class Relation:
 
     def df(self, spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
         own = spark.createDataFrame(self.rows, self.schema)
-        if not self.more:
+        if not self.more or sf_dir is None:  # without a folder the rows given only
             return own
         name, columns, _ = self.more
         return own.union(_source(spark, sf_dir, name).selectExpr(*columns).toDF(*own.columns))

@@ -28,24 +28,21 @@ def _stop(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     if state.hasTimedOut:
         state.remove()
         return
-    failed = state.get[0] if state.exists else None
     rows = pd.concat(list(batches)).sort_values("seq")
-    out = []
-    for r in rows.itertuples():
-        if failed is not None and r.seq > failed:
-            status = "skipped"
-        else:
-            status = r.status
-            if status != "ok":
-                failed = r.seq
-        out.append((key[0], r.seq, status))
+    bad = rows["seq"][rows["status"] != "ok"]
+    known = [int(state.get[0])] if state.exists else []
+    failed = min([*known, *(int(x) for x in bad[:1])], default=None)
     if failed is not None:
-        state.update((int(failed),))
+        rows.loc[rows["seq"] > failed, "status"] = "skipped"
+        state.update((failed,))
     state.setTimeoutDuration(24 * 3600 * 1000)
-    yield pd.DataFrame(out, columns=["session", "seq", "status"])
+    yield pd.DataFrame({"session": key[0], "seq": rows["seq"], "status": rows["status"]})
 
 
 def executed(stream: DataFrame) -> DataFrame:
-    """Rows (session, seq, status) in which all that follows a session's first failure is skipped, over micro-batches; a session's state is one number and goes after a day without rows."""
+    """Rows (session, seq, status) in which all that follows a session's first failure is skipped, over micro-batches; a session's state is one number and goes after a day without rows.
+
+    Rows are told once: where a failure comes in a later batch than rows behind it, these stay as they were told, and only what comes after is skipped.
+    """
     t = classified(stream).select("session", "seq", "status")
     return t.groupBy("session").applyInPandasWithState(_stop, "session string, seq int, status string", "failed int", "append", GroupStateTimeout.ProcessingTimeTimeout)
