@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import common
 
-LEAF, FANOUT = 32, 16
+LEAF, FANOUT = 256, 16
 #: Bytes of vectors in a tree; routing objects at most, a sample that only says which tree a vector goes to.
 TREE_BYTES, REGIONS = 8 << 20, 256
 #: Queries go to the executors in blocks of at most so many bytes.
@@ -56,7 +56,7 @@ def build(x: np.ndarray, norm: float, leaf: int = LEAF, fanout: int = FANOUT) ->
         pages.append({})
         me = len(pages) - 1
         to = lambda i, r: _distances(x[r], extra[r], x[i], extra[i])
-        if len(rows) <= leaf:
+        if len(rows) <= leaf and parent is not None:  # the root routes, so that a tree can be passed over at the cost of one distance
             pages[me] = {"leaf": True, "rows": rows, "to_parent": to(parent, rows) if parent is not None else np.zeros(len(rows)), "radius": np.zeros(len(rows)), "child": rows.astype(np.int64)}
             return me
         held = [int(rows[0] if parent is None else parent)]
