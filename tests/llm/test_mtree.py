@@ -47,7 +47,8 @@ def test_bounds_save_distances_on_clusters(spark):
     g = np.random.default_rng(2)
     centers = g.normal(0, 2000, (40, 16))
     x = (centers[g.integers(0, 40, 4000)] + g.normal(0, 20, (4000, 16))).astype(np.int64)
-    assert share_computed(spark, x, range(0, 4000, 100)) < 0.2
+    # 0.31 with leaves of 256 vectors; leaves of 32 gave less than 0.2, but ten times the pages to visit where nothing can be ruled out
+    assert share_computed(spark, x, range(0, 4000, 100)) < 0.35
 
 
 def test_distances_computed_on_the_supplied_table(spark):
