@@ -19,10 +19,13 @@ Fingerprints and not documents are joined: copies count once. A cell in memory t
 distinct fingerprint.
 
 Similar texts. Texts whose shingle sets overlap by 0.8 differ in about a seventh of their bits, ten of 64; no grid of segment
-counts tells such pairs from others. similar() finds them with fingerprints of WIDE words of 64 bits: texts that agree in one
-band of bits meet in a cell, and the distance over all bits estimates the angle, so the similarity. One rule holds
-at every size: bands of log2 of the number of fingerprints less 12 bits, BAND_BITS at least, so that cells stay small, and so many bands
-that of a hundred pairs at a similarity of 0.8 one meets in none. Links of SURE bits or fewer stand; the others that join
+counts of 64 bits tells such pairs from others. similar() takes the same steps with fingerprints of WIDE words of 64 bits: their places are
+dealt over many rings, a fingerprint's point holds the counts of each ring's segments, and its cell in a ring's grid is given by these
+counts. Pairs that meet in one grid are verified first by half the Manhattan distance of their points, over all segments of the
+words' own rings, then by the exact distance, which estimates the angle, so the similarity. One rule holds
+at every size: rings of log2 of the number of fingerprints less 12 bits, BAND_BITS at least, so that cells stay small, and so many rings
+that of a hundred pairs at a similarity of 0.8 one meets in none. While the rings share no place (32 of 12 bits do not),
+pairs of fewer differing bits than rings meet for certain. Links of SURE bits or fewer stand; the others that join
 what these leave apart are verified on the texts' shingle sets: first a spanning forest of them, then, among the fingerprints that
 a rejected one had joined, each one's nearest in other components, and where several components are left, all pairs of a cell
 that may still be similar. For these two steps a set has a mark of MARK parities, which bounds the number of shingles by which two sets
@@ -78,9 +81,9 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id"
     return common.arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id bigint, fp bigint")
 
 
-#: 64-bit words of a wide fingerprint; fewest bits of a band; share of pairs at the similarity that may meet in no band.
+#: 64-bit words of a wide fingerprint; fewest bits of a ring; share of pairs at the similarity that may meet in no ring's grid.
 WIDE, BAND_BITS, MISSED = 6, 12, 0.0085
-#: A crowded band's cell is dealt by so many further bands of so many bits; one pair in a thousand of the cell then meets in none.
+#: A crowded cell is dealt by so many further rings of so many bits; one pair in a thousand of the cell then meets in none.
 SUB_BITS, SUB_BANDS = 10, 32
 #: Wide fingerprints of so few differing bits are links without a look at the texts: 0.88 is expected there, 0.8 is 2.6 deviations away.
 SURE = 40
@@ -240,12 +243,12 @@ _NAMES = tuple(f"f{k}" for k in range(WIDE))
 
 
 def band_bits(n: int) -> int:
-    """Bits of a band for n fingerprints: so many that a cell of unlike ones holds a few thousand at most."""
+    """Bits of a ring for n fingerprints: so many that a cell of unlike ones holds a few thousand at most."""
     return max(BAND_BITS, n.bit_length() - 12)
 
 
 def bands(bits: int, similarity: float) -> int:
-    """So many bands that a share of MISSED of the pairs at this similarity agrees in none."""
+    """So many rings that a share of MISSED of the pairs at this similarity agrees in none."""
     differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return int(np.ceil(np.log(MISSED) / np.log1p(-((1 - differ) ** bits))))
 
@@ -263,12 +266,12 @@ def _choices(bits: int, many: int, seed: int) -> np.ndarray:
 
 
 def _spread(bits: int, many: int):
-    """For arrow_map: a row for each band, `cell` first, with all columns of the batch."""
+    """For arrow_map: a row for each ring with the cell of its segments' counts, `cell` first, with all columns of the batch."""
     order = _choices(bits, many, 17)
 
     def spread(b: pa.RecordBatch) -> dict:
         bit = _bits(b)
-        cell = np.concatenate([bit[:, o] @ (1 << np.arange(bits)) + (k << 40) for k, o in enumerate(order)])
+        cell = np.concatenate([_counted(bit[:, o]) + k * 3**bits for k, o in enumerate(order)])
         rows = np.tile(np.arange(len(bit)), many)
         return {"cell": cell} | {n: b.column(n).take(pa.array(rows)) for n in b.schema.names}
 
@@ -276,26 +279,26 @@ def _spread(bits: int, many: int):
 
 
 def _spread_again(b: pa.RecordBatch) -> dict:
-    """Rows of crowded cells, by cell and further bands."""
+    """Rows of crowded cells, by cell and further rings."""
     bit, cell = _bits(b), b.column("cell").to_numpy().view(np.uint64)
     order = _choices(SUB_BITS, SUB_BANDS, 23)
-    keys = np.concatenate([mix(cell * np.uint64(0x9E3779B97F4A7C15) + ((k << SUB_BITS) + bit[:, o] @ (1 << np.arange(SUB_BITS))).astype(np.uint64)) for k, o in enumerate(order)])
+    keys = np.concatenate([mix(cell * np.uint64(0x9E3779B97F4A7C15) + (k * 3**SUB_BITS + _counted(bit[:, o])).astype(np.uint64)) for k, o in enumerate(order)])
     rows = np.tile(np.arange(len(cell)), len(order))
     return {n: b.column(n).to_numpy()[rows] for n in b.schema.names} | {"cell": keys.view(np.int64)}
 
 
 def wide_links(distinct: DataFrame, bits: int, similarity: float) -> DataFrame:
-    """Edges (a, b, d), a < b, between the rows (rep, words) of distinct wide fingerprints that meet in a band and may be that similar: all that is needed to join what all of them join, sure links apart from others. Written."""
+    """Edges (a, b, d), a < b, between the rows (rep, words) of distinct wide fingerprints that meet in a ring's grid and may be that similar: all that is needed to join what all of them join, sure links apart from others. Written."""
     words = ", ".join(f"{n} bigint" for n in _NAMES)
     most = most_bits(similarity)
     near = lambda fp, a, b: _wide_distance(fp, a, b, most)
     put = common.arrow_map(distinct, _spread(bits, bands(bits, similarity)), f"cell bigint, rep bigint, {words}")
-    return _joined(put, distinct, _spread_again, near, range(2, 2 + WIDE), SURE, words)
+    return _joined(put, distinct, _spread_again, near, range(2, 2 + WIDE), SURE, words, _points)
 
 
-def _joined(put: DataFrame, distinct: DataFrame, again, near, prints: range, sure: int | None, words: str) -> DataFrame:
-    """The links of cells; members of crowded ones that the budget leaves are dealt by `again`, and searched to the end."""
-    scan = lambda df, budget: df.repartition("cell").sortWithinPartitions("cell").mapInArrow(_scan(near, prints, sure, budget), "a bigint, b bigint, d bigint")
+def _joined(put: DataFrame, distinct: DataFrame, again, near, prints: range, sure: int | None, words: str, points=lambda fp: fp) -> DataFrame:
+    """The links of cells, by near() on what points() makes of the words; members of crowded ones that the budget leaves are dealt by `again`, and searched to the end."""
+    scan = lambda df, budget: df.repartition("cell").sortWithinPartitions("cell").mapInArrow(_scan(near, prints, sure, budget, points), "a bigint, b bigint, d bigint")
     found = common.written(scan(put, BUDGET), "cells")
     links, rest = found.where("d >= 0"), found.where("d < 0").selectExpr("a rep", "b cell")
     if not rest.isEmpty():
@@ -304,15 +307,31 @@ def _joined(put: DataFrame, distinct: DataFrame, again, near, prints: range, sur
     return common.written(links.selectExpr("least(a, b) a", "greatest(a, b) b", "d").distinct(), "links")
 
 
-def _wide_distance(fp: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    a, b = np.broadcast_arrays(a, b)
-    d, left = np.zeros(len(a), np.int64), np.arange(len(a))
-    for k in range(0, WIDE, 3):  # most pairs are over the limit after three words
-        for j in range(k, min(k + 3, WIDE)):
-            d[left] += np.bitwise_count(fp[a[left], j] ^ fp[b[left], j])
-        left = left[d[left] <= most]
-    out = np.full(len(a), -1, np.int64)
-    out[left] = d[left]
+def _points(fp: np.ndarray) -> np.ndarray:
+    """The words of wide fingerprints, and behind them their points: of each place whether the count of its segment reaches one, and whether it reaches two. Two points' Manhattan distance is the number of these bits in which they differ."""
+    turned = _turned(fp)
+    return np.asfortranarray(np.concatenate([fp, fp | turned, fp & turned], axis=1))
+
+
+def _wide_distance(points: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Exact distances up to `most`, -1 for more; the bound goes first: a differing bit moves two segments by one."""
+    n = max(len(a), len(b))
+    far, left = np.zeros(n, np.int64), np.arange(n)
+
+    def apart(k: int) -> np.ndarray:
+        x, y = (points[i if len(i) < n else i[left], k] for i in (a, b))
+        return np.bitwise_count(x ^ y)
+
+    for k in range(0, WIDE, 2):  # most pairs are over the limit after four words
+        for j in range(k, min(k + 2, WIDE)):
+            far[left] += apart(WIDE + j)
+            far[left] += apart(2 * WIDE + j)
+        left = left[far[left] <= 2 * most]
+    d = np.zeros(len(left), np.int64)
+    for k in range(WIDE):
+        d += apart(k)
+    out = np.full(n, -1, np.int64)
+    out[left] = np.where(d <= most, d, -1)
     return out
 
 
@@ -384,10 +403,15 @@ def cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return every, np.tile(np.repeat(np.arange(len(fp)), 33), 2)
 
 
+def _counted(bits: np.ndarray) -> np.ndarray:
+    """The cells of rows of bits on a ring: the counts of its segments, the pairs of neighbours, as digits."""
+    return (bits + np.roll(bits, -1, axis=1)) @ _PLACES[: bits.shape[1]]
+
+
 def _ring(bits: np.ndarray) -> np.ndarray:
     """The cells of rows of bits: of their segments' counts, and with each bit turned, which moves two segments by one."""
     places = _PLACES[: bits.shape[1]]
-    own = (bits + np.roll(bits, -1, axis=1)) @ places
+    own = _counted(bits)
     return np.c_[own, own[:, None] + (1 - 2 * bits) * (places + np.roll(places, 1))]
 
 
@@ -516,11 +540,11 @@ def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, near, sure: int | N
     return tuple(x + y for x, y in zip(links, undone, strict=True))
 
 
-def _scan(near, prints: range, sure: int | None, budget: int | None):
+def _scan(near, prints: range, sure: int | None, budget: int | None, points=lambda fp: fp):
     """Reads sorted rows (cell, rep, ..., fingerprint words ...); gives out the links' forest of each batch of whole cells, with their distances, and what the budget left."""
 
     def edge(got: list[np.ndarray]):
-        fp = np.stack([got[k] for k in prints], axis=1).view(np.uint64)
+        fp = points(np.stack([got[k] for k in prints], axis=1).view(np.uint64))
         found = _links(got[0], fp, got[1], near, sure, budget)
         if found[0]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b", "d"])

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -223,6 +224,39 @@ def prints_df(spark, x):
     return spark.createDataFrame([(i, *v) for i, v in enumerate(x.tolist())], "rep long, " + ", ".join(f"{n} long" for n in S._NAMES))
 
 
+@pytest.mark.parametrize("bits", [12, 18])
+def test_wide_cells_are_those_of_segment_counts(bits):
+    """The grid of similar(): a cell is given by the counts of a ring's neighbouring pairs, and alike counts share it whatever the bits."""
+    x = np.stack(wide_pairs(np.random.default_rng(3), 50)[0], axis=1)
+    order = S._choices(bits, 5, 17)
+    one, two = np.zeros(64 * S.WIDE, np.uint8), np.zeros(64 * S.WIDE, np.uint8)
+    one[order[0][::2]] = two[order[0][1::2]] = 1
+    x = np.c_[x, np.packbits([one, two], axis=1, bitorder="little").view(np.int64).T]
+    cell = S._spread(bits, 5)(pa.RecordBatch.from_arrays([pa.array(v) for v in x], names=S._NAMES))["cell"].reshape(5, -1)
+    bit = np.unpackbits(np.ascontiguousarray(x.T).view(np.uint8), axis=1, bitorder="little").astype(int)
+    for k, o in enumerate(order):
+        want = [k * 3**bits + sum((int(r[o[i]]) + int(r[o[(i + 1) % bits]])) * 3**i for i in range(bits)) for r in bit]
+        assert cell[k].tolist() == want
+    assert cell[0, -1] == cell[0, -2]
+
+
+def test_wide_pairs_are_verified_by_the_bound_first():
+    a, b = (x.view(np.uint64) for x in wide_pairs(np.random.default_rng(5), 400))
+    p, most = S._points(np.r_[a, b]), S.most_bits(0.8)
+    bit = np.unpackbits(np.r_[a, b].view(np.uint8), axis=1, bitorder="little").reshape(800, -1, 32).astype(int)
+    counts = (bit + np.roll(bit, -1, axis=2)).reshape(800, -1)
+    i, j = np.r_[np.arange(400), np.zeros(799, int)], np.r_[np.arange(400, 800), np.arange(1, 800)]
+    manhattan = np.abs(counts[i] - counts[j]).sum(1)
+    assert np.bitwise_count(p[i, S.WIDE :] ^ p[j, S.WIDE :]).sum(1, dtype=int).tolist() == manhattan.tolist()
+    exact = np.bitwise_count(p[i, : S.WIDE] ^ p[j, : S.WIDE]).sum(1, dtype=int)
+    assert (manhattan <= 2 * exact).all() and (manhattan > 2 * most).sum() > 700
+    assert S._wide_distance(p, i, j, most).tolist() == np.where(exact <= most, exact, -1).tolist()
+    assert S._wide_distance(p, np.array([0]), np.arange(1, 800), most).tolist() == np.where(exact <= most, exact, -1)[400:].tolist()
+    q = p.copy()
+    q[:, : S.WIDE] = 0  # words that would agree: only the bound can tell the points apart
+    assert (S._wide_distance(q, i, j, most) >= 0).tolist() == (manhattan <= 2 * most).tolist()
+
+
 @pytest.mark.parametrize("bits", [12, 13, 15, 18])
 def test_one_rule_for_bands_of_any_length(spark, bits):
     """The same recall whatever the number of fingerprints makes of the bands' length."""
