@@ -168,7 +168,8 @@ _held: dict[tuple[int, str], Encoder] = {}
 
 
 def _encoder(lines: bytes, pattern: str) -> Encoder:
-    """One a worker and vocabulary; its cache outlives the task."""
+    """One a worker and vocabulary; its cache outlives the task, until one of another operator begins."""
+    common.holds("bpe", _held.clear)
     if (key := (hash(lines), pattern)) not in _held:
         _held.clear()
         _held[key] = Encoder(Vocabulary.parse(lines), pattern)
@@ -211,6 +212,7 @@ def _mapped(docs: DataFrame, vocabulary_path: str, pattern: str, column: str, ad
     kinds = [{"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}[x.dataType.simpleString()] for x in new]
 
     def run(batches):
+        common.let_go("bpe")
         e = None
         for b in batches:
             e = e or _encoder(lines.value, pattern)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import posixpath
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -89,6 +90,24 @@ def drop_written(df: DataFrame | None) -> None:
         _delete(df.sparkSession, path)
 
 
+#: What outlives a task in this process, by operator: how to let go of it.
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holds(operator: str, drop: Callable[[], None]) -> None:
+    """To be called by a task that keeps something for later tasks of its operator in the same Python worker; drop() lets go of it."""
+    _held[operator] = drop
+
+
+def let_go(operator: str = "") -> None:
+    """To be called where a task begins: what other operators keep in this Python worker is dropped, and its memory given back. Spark uses a worker again for whatever comes next, and an executor's memory holds them all."""
+    if others := [k for k in _held if k != operator]:
+        for k in others:
+            _held.pop(k)()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def bounded(payload: bytes, what: str) -> bytes:
     if len(payload) > BROADCAST_LIMIT:
         raise ValueError(f"{what} has {len(payload)} bytes; at most {BROADCAST_LIMIT} are broadcast")
@@ -111,6 +130,7 @@ def arrow_map(df: DataFrame, f, schema: str) -> DataFrame:
     kind = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             if b.num_rows and (out := f(b)) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[x.name], type=x.type) for x in kind], schema=kind)

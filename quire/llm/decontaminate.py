@@ -240,6 +240,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches):
+        common.let_go()
         for b in batches:
             for t in b.column(0).to_pylist():
                 t = question_and_answer(t)[0]
@@ -277,6 +278,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
             held = spark.sparkContext.broadcast(payload)
 
             def search(batches, held=held):
+                common.let_go()
                 index = facts = None
                 for b in batches:
                     if index is None:

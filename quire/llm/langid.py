@@ -48,6 +48,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     """Per bucket the number of the texts of docs.text that hold it, over all of them, and in the last place their number. Each task gives out its sums."""
 
     def run(batches):
+        common.let_go()
         seen, n = np.zeros(BUCKETS, np.int64), 0
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -187,6 +188,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
     schema = StructType([*(docs.schema[c] for c in keep), StructField(lang, StringType()), StructField(score, DoubleType())])
 
     def run(batches):
+        common.let_go()
         model = None
         for b in batches:
             model = model or pickle.loads(held.value)

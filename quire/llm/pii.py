@@ -153,6 +153,10 @@ def _features(span: str, before: str, tokens: int) -> tuple[str, ...]:
 _remembered = lru_cache(50_000)(_features)
 
 
+def _remember() -> None:
+    common.holds("pii", _remembered.cache_clear)
+
+
 def _cover(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
     """Starts and ends of what sorted spans cover."""
     starts: list[int] = []
@@ -382,6 +386,8 @@ def find(docs: DataFrame, field: Field | None = None, text: str = "text") -> Dat
     schema = StructType([*(docs.schema[c] for c in keep), *(StructField(n, LongType() if n[:2] == "n_" else StringType()) for n in new)])
 
     def run(batches):
+        common.let_go("pii")
+        _remember()
         field = Field()
         for b in batches:
             field.w = field.w or pickle.loads(held.value)

@@ -353,6 +353,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle_words: int, similarity:
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
+        common.let_go()
         for b in batches:
             keep = pa.array([jaccard(x, y, shingle_words) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
             yield b.select(["a", "b"]).filter(keep)
@@ -602,6 +603,7 @@ def _whole_cells(edge):
     """mapInArrow function that calls edge(columns) with whole cells of sorted rows."""
 
     def scan(batches):
+        common.let_go()
         held: list = []
         for b in batches:
             held.append([_array(c) for c in b.columns])

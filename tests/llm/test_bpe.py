@@ -5,7 +5,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from quire.llm import bpe
+from quire.llm import bpe, common, pii
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -90,3 +90,24 @@ def test_round_trip_and_empty_tables(spark):
     assert sorted(bytes(r.decoded) for r in got) == sorted((r[1] or "").encode() for r in ROWS)
     assert bpe.digests(df.limit(0), PATH, P.PATTERN).count() == 0
     assert bpe.decode(spark.createDataFrame([(None,)], "ids array<int>"), PATH).first().decoded is None
+
+
+def test_workers_let_go_of_caches(spark):
+    """A worker that has encoded or looked for personal data is used again by other operators; nothing of these is held then."""
+    docs = spark.createDataFrame([(i, f"text {i} call 555-{i:03}-0199") for i in range(400)], "doc_id long, text string").repartition(8)
+    left = lambda b: {"n": [len(bpe._held) + pii._remembered.cache_info().currsize] * b.num_rows}
+    for _ in range(2):
+        bpe.encode(docs, PATH, P.PATTERN).write.format("noop").mode("overwrite").save()
+        assert common.arrow_map(docs, left, "n int").where("n > 0").count() == 0
+        pii.find(docs).write.format("noop").mode("overwrite").save()
+        assert common.arrow_map(docs, left, "n int").where("n > 0").count() == 0
+
+
+def test_a_worker_keeps_the_cache_of_its_own_operator():
+    lines = open(PATH, "rb").read()
+    common.let_go()
+    e = bpe._encoder(lines, P.PATTERN)
+    common.let_go("bpe")
+    assert bpe._encoder(lines, P.PATTERN) is e
+    common.let_go()
+    assert not bpe._held
