@@ -8,6 +8,7 @@ import posixpath
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,6 +109,12 @@ def let_go(operator: str = "") -> None:
     pa.default_memory_pool().release_unused()
 
 
+def give_back(spark: SparkSession) -> None:
+    """To be called between steps of many stages: the driver lets go of plans and tasks that are done with. Else its heap grows to its limit before it is tidied up. Shuffle files that nothing reads any more go as well."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded(payload: bytes, what: str) -> bytes:
     if len(payload) > BROADCAST_LIMIT:
         raise ValueError(f"{what} has {len(payload)} bytes; at most {BROADCAST_LIMIT} are broadcast")
@@ -138,16 +145,48 @@ def arrow_map(df: DataFrame, f, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: So many edges, 4 MB of ids, are joined in one task: a round of stars is some twenty stages, whose plans, tasks and metrics the driver has to hold however few the edges are.
+FEW_EDGES = 1 << 18
+
+
+def united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of these edges, sorted, and the smallest node that each reaches. A part's root takes the least root beside it until no edge leaves a part; two steps halve the roots at least."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while ((up := root[root]) != root).any():
+            root = up
+    return nodes, nodes[root]
+
+
+def _united(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if got:
+        node, comp = united(*(np.concatenate(x) for x in zip(*got, strict=True)))
+        for k in range(0, len(node), BATCH_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + BATCH_ROWS]) for x in (node, comp)], names=["node", "comp"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (a long, b long): rows (node, comp), comp the smallest node.
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014). Each round is one
+    FEW_EDGES edges or fewer are joined in one task. More take alternating large-star and small-star
+    rounds (Kiveris et al., 2014). Each round is one
     partial aggregation and one equi-join per star, which adaptive execution splits where a
     node is hot; its table is written to the shared folder. Nodes without an edge have no row.
     Nulls and loops are ignored. Nothing is gathered on the driver but a count and a checksum.
     """
-    e = edges.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
-    now, mark = written(e, "edges"), None
+    now, mark = written(edges.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) a", "least(a, b) b"), "edges"), None
+    if now.count() <= FEW_EDGES:
+        return now.coalesce(1).mapInArrow(_united, "node bigint, comp bigint")
+    every, now = now, written(now.distinct(), "edges")
+    drop_written(every)
 
     def stars(e: DataFrame) -> DataFrame:
         # the least neighbours are written, so that each join shuffles both its sides and a hot node's rows can be split

@@ -151,16 +151,19 @@ def similar(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) ->
     made = common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), prints, f"doc_id bigint, few boolean, {words}")
     made = common.written(made, "wide")
     distinct = common.written(made.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("rep"), F.max("few").alias("few")), "distinct")
+    common.give_back(docs.sparkSession)
     bits = band_bits(distinct.count())
     most = most_bits(similarity)
     spread = _spread(bits, bands(bits, similarity))
     edges = wide_links(distinct.select("rep", *names), bits, similarity)
     sure = edges.where(F.col("d") <= SURE).select("a", "b")
+    common.give_back(docs.sparkSession)
     part = common.written(common.components(sure), "parts")
     maybe = edges.where(F.col("d") > SURE).join(part.toDF("a", "ca"), "a", "left").join(part.toDF("b", "cb"), "b", "left")
     maybe = common.written(maybe.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb"), "unsure")
     right = common.written(_verified(maybe.select("a", "b"), docs, shingle_words, similarity), "verified")
     joined = common.written(common.components(sure.unionByName(right)), "joined")
+    common.give_back(docs.sparkSession)
 
     # the forest left out pairs whose ends a rejected link had joined: these parts are looked at again, first for each member's nearest
     # in other components, then, where several components are left, for every pair that may be similar
@@ -171,6 +174,7 @@ def similar(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) ->
     again = common.written(_marked(again.select("rep", "whole", *names), docs, shingle_words), "torn")
     tried = wrong.select("a", "b")
     for most_each in (NEAREST, None):
+        common.give_back(docs.sparkSession)
         parts = common.written(_named(again.select("rep", "whole"), joined), "torn-parts")
         several = parts.groupBy("whole").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("whole")
         several = again.join(parts.join(several, "whole", "left_semi").select("rep", "comp"), "rep")
@@ -181,6 +185,7 @@ def similar(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) ->
         pairs = common.written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "apart")
         joined = _merged(joined, pairs.join(_verified(pairs.select("a", "b"), docs, shingle_words, similarity), ["a", "b"], "left_semi"))
         tried = tried.unionByName(pairs.select("a", "b"))
+    common.give_back(docs.sparkSession)
     known = common.written(distinct.join(joined, distinct.rep == joined.node, "left").select(*names, F.coalesce("comp", "rep").alias("comp")), "known")
     return made.join(known, names, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("comp")).alias("component_id"))
 

@@ -126,6 +126,37 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1 << 18])
+@pytest.mark.parametrize("seed", range(2))
+def test_components_by_stars_and_in_one_task(spark, monkeypatch, few, seed):
+    monkeypatch.setattr(common, "FEW_EDGES", few)
+    g = np.random.default_rng(seed)
+    edges = (g.integers(0, 400, (230, 2)) * 7 - 900).tolist() + [[None, -900], [5, None], [3, 3], [-4, 2**60], [2**60, -4]]
+    least = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in least:
+        for a, b in (e for e in edges if None not in e and e[0] != e[1]):
+            least[a] = least[b] = min(least[a], least[b])
+    got = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(least) and {r.node: r.comp for r in got} == least
+
+
+def test_few_edges_take_one_table(spark, monkeypatch):
+    """Rounds of stars take five tables for the edges and each round, each with stages that the driver has to hold."""
+    names, written = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, name: names.append(name) or written(df, name))
+    edges = [(i, i + 1) for i in range(60)]
+    assert {r.comp for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()} == {0}
+    assert names == ["edges"]
+
+
+def test_the_driver_lets_go_between_steps(spark, monkeypatch):
+    calls, give_back = [], common.give_back
+    monkeypatch.setattr(common, "give_back", lambda s: calls.append(give_back(s)))
+    docs = spark.createDataFrame([(i, f"some words of text {i % 3}") for i in range(9)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in S.similar(docs).collect()) == [(i, i % 3) for i in range(9)]
+    assert len(calls) >= 5
+
+
 def test_unsure_links_are_verified(spark):
     g = random.Random(8)
     word = lambda: "".join(g.choices("abcdefghij", k=4))
