@@ -157,12 +157,17 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _many(spans: Column, kind: int) -> Column:
+    """How many spans are of that kind. The function has one parameter: a second one would get the place in the array."""
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the numbers of base spans, their digest, and all spans; documents whose text is null or empty have none. Repeated rows all come back; further columns are ignored."""
     common.ready(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find(docs, train(samples(docs))).select("doc_id", "secrets", F.filter("secrets", lambda x: x["kind"] < 3).alias("base"))
-    many = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    many = [_many(F.col("base"), k).alias(f"n_{KINDS[k]}") for k in range(3)]
     return found.select("doc_id", *many, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
 
 
