@@ -21,7 +21,8 @@ distinct fingerprint.
 Similar texts. Texts whose shingle sets overlap by 0.8 differ in about a seventh of their bits, ten of 64; no grid of segment
 counts of 64 bits tells such pairs from others. similar() takes the same steps with fingerprints of WIDE words of 64 bits: their places are
 dealt over many rings, a fingerprint's point holds the counts of each ring's segments, and its cell in a ring's grid is given by these
-counts. Pairs that meet in one grid are verified first by half the Manhattan distance of their points, over all segments of the
+counts. Pairs that meet in one grid are sifted by the differing bits
+of their first four words, in blocks of a cell's square, as at some GB a cell has hundreds of members and nearly all pairs are unlike. What is left is verified first by half the Manhattan distance of their points, over all segments of the
 words' own rings, then by the exact distance, which estimates the angle, so the similarity. One rule holds
 at every size: rings of log2 of the number of fingerprints less 12 bits, BAND_BITS at least, so that cells stay small, and so many rings
 that of a hundred pairs at a similarity of 0.8 one meets in none. While the rings share no place (32 of 12 bits do not),
@@ -49,6 +50,8 @@ SEED = 42
 DENSE = 256
 #: Comparisons in one run; what they leave undone is dealt anew.
 BUDGET = 1 << 26
+#: Runs of wide fingerprints of more members are sifted in blocks of so many pairs; one with more links a member is searched as a dense one.
+SIFTED, SIFT_PAIRS, SIFT_LINKS = 24, 1 << 15, 32
 
 
 def fingerprint(text: str | None, shingle_words: int = 4) -> int:
@@ -298,12 +301,12 @@ def wide_links(distinct: DataFrame, bits: int, similarity: float) -> DataFrame:
     most = most_bits(similarity)
     near = lambda fp, a, b: _wide_distance(fp, a, b, most)
     put = common.arrow_map(distinct, _spread(bits, bands(bits, similarity)), f"cell bigint, rep bigint, {words}")
-    return _joined(put, distinct, _spread_again, near, range(2, 2 + WIDE), SURE, words, _points)
+    return _joined(put, distinct, _spread_again, near, range(2, 2 + WIDE), SURE, words, _points, lambda fp, enough: _sifted(fp, most, enough))
 
 
-def _joined(put: DataFrame, distinct: DataFrame, again, near, prints: range, sure: int | None, words: str, points=lambda fp: fp) -> DataFrame:
+def _joined(put: DataFrame, distinct: DataFrame, again, near, prints: range, sure: int | None, words: str, points=lambda fp: fp, sift=None) -> DataFrame:
     """The links of cells, by near() on what points() makes of the words; members of crowded ones that the budget leaves are dealt by `again`, and searched to the end."""
-    scan = lambda df, budget: df.repartition("cell").sortWithinPartitions("cell").mapInArrow(_scan(near, prints, sure, budget, points), "a bigint, b bigint, d bigint")
+    scan = lambda df, budget: df.repartition("cell").sortWithinPartitions("cell").mapInArrow(_scan(near, prints, sure, budget, points, sift), "a bigint, b bigint, d bigint")
     found = common.written(scan(put, BUDGET), "cells")
     links, rest = found.where("d >= 0"), found.where("d < 0").selectExpr("a rep", "b cell")
     if not rest.isEmpty():
@@ -340,6 +343,30 @@ def _wide_distance(points: np.ndarray, a: np.ndarray, b: np.ndarray, most: int)
     return out
 
 
+def _sifted(points: np.ndarray, most: int, enough: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """All pairs (a, b), a < b, of a run that differ in `most` bits or fewer of their first words, and hardly any other; None where these are more than `enough`.
+
+    Whole blocks of the run's square are worked out at once: a pair takes some nanoseconds, and so many words leave next to none of the unlike ones.
+    """
+    n, found, many, at = len(points), [], 0, 0
+    while at < n - 1:
+        end = min(n - 1, at + max(1, SIFT_PAIRS // (n - at)))
+        differ = np.zeros((end - at, n - at), np.uint8)  # of 256 bits all may differ, which counts as none and is seen in the exact distance
+        for k in range(_SIFT_WORDS):
+            differ += np.bitwise_count(points[at:end, k, None] ^ points[None, at:, k])
+        a, b = np.nonzero(differ <= most)
+        ahead = a < b
+        found.append((a[ahead] + at, b[ahead] + at))
+        many += len(found[-1][0])
+        if many > enough:
+            return None
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+_SIFT_WORDS = 4
+
+
 def jaccard(a: str | None, b: str | None, shingle_words: int) -> float:
     """Exact similarity of two texts' shingle sets; 1 for two without words."""
 
@@ -523,21 +550,39 @@ def _dense(fp: np.ndarray, rep: np.ndarray, near, sure: int | None, budget: int
     return *(np.concatenate(x) for x in zip((rep[:0],) * 3, *out, strict=True)), rest
 
 
-def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, near, sure: int | None, budget: int | None) -> tuple[list, list, list]:
-    """Of whole sorted runs; what a run's budget leaves comes as (rep, cell, -1). near(fp, a, b): the distances of pairs of places that are links, else -1."""
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of runs."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, near, sure: int | None, budget: int | None, sift=None) -> tuple[list, list, list]:
+    """Of whole sorted runs; what a run's budget leaves comes as (rep, cell, -1). near(fp, a, b): the distances of pairs of places that are links, else -1. sift(fp, enough): the pairs of a run among which all its links are, or None for more than enough."""
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
     found, undone = [(rep[:0],) * 3], ([], [], [])
+    tried = np.zeros(len(size), bool)
+    if sift is not None:
+        for r in np.flatnonzero((size > SIFTED) & (True if budget is None else size * (size - 1) // 2 <= budget)).tolist():
+            s, n = int(start[r]), int(size[r])
+            if (pairs := sift(fp[s : s + n], SIFT_LINKS * n)) is not None:
+                tried[r] = True
+                if len(pairs[0]):
+                    d = near(fp, pairs[0] + s, pairs[1] + s)
+                    hit = d >= 0
+                    found.append((rep[pairs[0][hit] + s], rep[pairs[1][hit] + s], d[hit]))
+    start, size = start[~tried], size[~tried]
     for s, n in zip(start[size > DENSE], size[size > DENSE], strict=True):
         *links, rest = _dense(fp[s : s + n], rep[s : s + n], near, sure, budget)
         found.append(tuple(links))
         undone[0].extend(rep[s : s + n][rest].tolist())
         undone[1].extend([int(key[s])] * len(rest))
         undone[2].extend([-1] * len(rest))
-    at = np.flatnonzero(np.repeat((size <= DENSE) & (size > 1), size))
-    end = np.repeat(start + size, size)
+    few = (size <= DENSE) & (size > 1)
+    start, size = start[few], size[few]
+    at, end = _ranges(start, size), np.repeat(start + size, size)
     step = 1
-    while len(at := at[at + step < end[at]]):
+    while (more := at + step < end).any():
+        at, end = at[more], end[more]
         d = near(fp, at, at + step)
         hit = d >= 0
         found.append((rep[at[hit]], rep[at[hit] + step], d[hit]))
@@ -546,12 +591,12 @@ def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, near, sure: int | N
     return tuple(x + y for x, y in zip(links, undone, strict=True))
 
 
-def _scan(near, prints: range, sure: int | None, budget: int | None, points=lambda fp: fp):
+def _scan(near, prints: range, sure: int | None, budget: int | None, points=lambda fp: fp, sift=None):
     """Reads sorted rows (cell, rep, ..., fingerprint words ...); gives out the links' forest of each batch of whole cells, with their distances, and what the budget left."""
 
     def edge(got: list[np.ndarray]):
         fp = points(np.stack([got[k] for k in prints], axis=1).view(np.uint64))
-        found = _links(got[0], fp, got[1], near, sure, budget)
+        found = _links(got[0], fp, got[1], near, sure, budget, sift)
         if found[0]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b", "d"])
 

@@ -71,6 +71,20 @@ def test_clashing_columns_pass_through(spark, folder):
         docs = spark.createDataFrame(rows, out.schema)
 
 
+def test_texts_stay_where_few_documents_are_contaminated(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = C.drop_contaminated(spark, docs, folder)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r.doc_id) for r in docs.collect() if r.doc_id != 102)
+
+
 def test_run(spark, folder):
     assert {"doc_id", "text", "ids", "n_tokens"} <= set(C.run(spark, folder).columns)
 

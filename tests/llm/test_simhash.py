@@ -393,3 +393,40 @@ def test_a_large_group_of_near_copies_gives_few_candidates(spark, monkeypatch):
     same = sum(got[i] == want[i] for i in range(900))
     print("verified:", asked, "components:", len(set(want)), "alike:", same)
     assert same >= 895 and sum(asked) < 30 * 900
+
+
+@pytest.mark.parametrize("alike", [0, 300, 1200])
+def test_a_cell_is_sifted_in_blocks(alike):
+    g = np.random.default_rng(alike)
+    n, most, fp = 1200, S.most_bits(0.8), g.integers(0, 1 << 64, (1200, S.WIDE), dtype=np.uint64)
+    for i in g.permutation(n)[:alike]:  # near copies in groups of about alike / 12
+        fp[i] = fp[i % 12] ^ np.uint64(1 << int(g.integers(64)))
+    points, asked = S._points(fp), []
+
+    def near(f, a, b):
+        asked.append(max(len(a), len(b)))
+        return S._wide_distance(f, a, b, most)
+
+    d = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2, dtype=np.int64)
+    pairs = S._sifted(points, most, n * n)
+    a, b = np.nonzero(np.triu(d <= most, 1))
+    assert {*zip(a.tolist(), b.tolist(), strict=True)} <= {*zip(*(x.tolist() for x in pairs), strict=True)} and len(pairs[0]) <= len(a) + n // 100
+    links = S._links(np.zeros(n, np.int64), points, np.arange(n), near, S.SURE, S.BUDGET, lambda f, enough: S._sifted(f, most, enough))
+    want, got = common.united(a, b), common.united(np.array(links[0], np.int64), np.array(links[1], np.int64))
+    assert [x.tolist() for x in got] == [x.tolist() for x in want]
+    if alike <= 300:  # unlike members: not a step each, and not a look at every pair
+        assert len(asked) == (len(pairs[0]) > 0) and sum(asked) < n * S.SIFT_LINKS
+
+
+def test_runs_after_sifted_ones_keep_their_places():
+    g = np.random.default_rng(3)
+    size = [1, 60, 3, 1, 400, 2, 30, 24]
+    key = np.repeat(np.arange(len(size)), size)
+    fp = g.integers(0, 1 << 64, (len(key), S.WIDE), dtype=np.uint64)
+    for at in np.flatnonzero(key[1:] == key[:-1])[::3]:
+        fp[at + 1] = fp[at] ^ np.uint64(5)
+    points, most, rep = S._points(fp), S.most_bits(0.8), np.arange(len(key)) + 1000
+    near = lambda f, a, b: S._wide_distance(f, a, b, most)
+    got = S._links(key, points, rep, near, S.SURE, S.BUDGET, lambda f, enough: S._sifted(f, most, enough))
+    old = S._links(key, points, rep, near, S.SURE, S.BUDGET)
+    assert len(got[0]) > 100 and {*zip(*got, strict=True)} == {*zip(*old, strict=True)}
